@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon
+from leafloom.llm import canon, repeated
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,27 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in its one form."""
     texts = [canon.canonicalize(read(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(i).alias("row_id"), F.col(x).alias("text")), "text") for t, (i, x) in TEXTS.items()]
     return texts[0].unionByName(texts[1])
+
+
+def repeated_lines(documents: DataFrame) -> DataFrame:
+    return repeated.found(documents, F.col("source"), F.col("doc_id"), F.col("doc_id"), F.col("text"))
+
+
+def repeated_nodes(nodes: DataFrame) -> DataFrame:
+    return repeated.found(nodes, F.col("book_id"), F.col("page_id"), F.col("node_no"), F.col("text"), split=False)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = repeated_lines(read(spark, sf_dir, "documents")).select(F.lit("documents").alias("tbl"), "row_id", "line_no")
+    nodes = repeated_nodes(read(spark, sf_dir, "page_nodes")).select(F.lit("page_nodes").alias("tbl"), "row_id", "line_no")
+    return documents.unionByName(nodes)
+
+
+@query
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without their repeated lines."""
+    documents, nodes = read(spark, sf_dir, "documents"), read(spark, sf_dir, "page_nodes")
+    a = repeated.remove(documents.select("doc_id", "text"), "doc_id", "text", repeated_lines(documents))
+    b = repeated.remove(nodes.select("node_no", "text").distinct(), "node_no", "text", repeated_nodes(nodes), split=False)
+    return a.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text").unionByName(b.select(F.lit("page_nodes").alias("tbl"), F.col("node_no").alias("row_id"), "text"))
