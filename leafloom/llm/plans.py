@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, repeated
+from leafloom.llm import canon, repeated, splits
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,22 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = repeated.remove(documents.select("doc_id", "text"), "doc_id", "text", repeated_lines(documents))
     b = repeated.remove(nodes.select("node_no", "text").distinct(), "node_no", "text", repeated_nodes(nodes), split=False)
     return a.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text").unionByName(b.select(F.lit("page_nodes").alias("tbl"), F.col("node_no").alias("row_id"), "text"))
+
+
+def coded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = read(spark, sf_dir, "samples")
+    return samples.select("sample_no", splits.codes(F.col("sample_id"), F.col("image_path")).alias("codes"), splits.split_name(F.col("split_name")).alias("split"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = coded_samples(spark, sf_dir)
+    return splits.mixed(coded, splits.components(coded))
+
+
+@query
+def p3_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with its set and the split it shall be in."""
+    coded = coded_samples(spark, sf_dir).dropDuplicates(["sample_no"])
+    table = splits.components(coded)
+    return splits.assign(coded.select(F.col("sample_no").alias("record_id"), "codes"), table, read(spark, sf_dir, "split_plan"))
