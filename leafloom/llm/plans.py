@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, repeated, splits
+from leafloom.llm import canon, repeated, residue, splits
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,16 @@ def p3_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded_samples(spark, sf_dir).dropDuplicates(["sample_no"])
     table = splits.components(coded)
     return splits.assign(coded.select(F.col("sample_no").alias("record_id"), "codes"), table, read(spark, sf_dir, "split_plan"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return residue.found(documents, F.col("doc_id"), F.col("text"), repeated_lines(documents)).select(F.col("row_id").alias("doc_id"))
+
+
+@query
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left."""
+    documents = read(spark, sf_dir, "documents")
+    return documents.select("doc_id", "text").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
