@@ -25,7 +25,7 @@ def test_cases(spark):
 
 
 def test_site_lines_are_left_aside(spark):
-    text = "\n".join([f"{w} line of {w} site, made by {w} hand, with {w} name and {w} words on {w} page" for w in ("one", "two", "three", "four")] + ["Session expired. Sign in."])
+    text = "\n".join([*BODY.strip().split(". ")[:3], "No scan of this folio may be passed on without the desk of readers", "Session expired. Sign in."])
     df = spark.createDataFrame([(1, text)], "doc_id long, t string")
     site = spark.createDataFrame([(1, i) for i in range(4)], "row_id long, line_no long")
     args = df, F.col("doc_id"), F.col("t")
