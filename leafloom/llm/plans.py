@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, repeated, residue, splits
+from leafloom.llm import canon, leaks, repeated, residue, splits
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,20 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are left."""
     documents = read(spark, sf_dir, "documents")
     return documents.select("doc_id", "text").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), read(spark, sf_dir, "test_items"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(spark, sf_dir).where(F.col("run") >= leaks.MIN_WORDS).select(F.col("row_id").alias("doc_id"), "item_id")
+
+
+@query
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, exactly or edited, into how many documents."""
+    found = leaked(spark, sf_dir).where((F.col("run") >= leaks.MIN_WORDS) | (F.col("share") >= 0.5))
+    items = read(spark, sf_dir, "test_items").select("item_id", "suite")
+    return found.join(items, "item_id").groupBy("suite", "item_id").agg(F.countDistinct("row_id").alias("n_docs"), F.count_if(F.col("run") >= leaks.MIN_WORDS).alias("n_exact"), F.max("share").alias("best_share"))
