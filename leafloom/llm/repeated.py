@@ -41,10 +41,11 @@ def has_letters(line: Column, n: int = MIN_LETTERS) -> Column:
 
 
 def lines(df: DataFrame, source: Column, doc: Column, row: Column, text: Column, split: bool = True) -> DataFrame:
-    """(source, doc, row_id, line_no, key) of the lines that may count."""
+    """(source, doc, row_id, line_no, hash, check) of the lines that may count; the two hashes are the line's 128-bit key."""
     base = df.select(source.alias("source"), doc.alias("doc"), row.alias("row_id"), text.alias("t")).where("source is not null and doc is not null and t is not null")
     each = base.select("source", "doc", "row_id", F.posexplode(F.split("t", "\n"))) if split else base.select("source", "doc", "row_id", F.lit(0).alias("pos"), F.col("t").alias("col"))
-    return each.where(F.length("col") >= MIN_LETTERS).where(has_letters(F.col("col"))).select("source", "doc", "row_id", F.col("pos").cast("bigint").alias("line_no"), line_key(F.col("col")).alias("key"))
+    keyed = each.where(F.length("col") >= MIN_LETTERS).where(has_letters(F.col("col"))).withColumn("key", line_key(F.col("col")))
+    return keyed.select("source", "doc", "row_id", F.col("pos").cast("bigint").alias("line_no"), F.xxhash64("key").alias("hash"), F.xxhash64("key", F.lit(1)).alias("check"))
 
 
 class Summary:
@@ -90,7 +91,7 @@ def summaries(each: DataFrame, share: float = MIN_SHARE, least: int = 64) -> Dat
         for name, s in held.items():
             yield pd.DataFrame({"source": name, "hash": pd.array([*s.keys, None], dtype="Int64"), "n": [*s.counts, 0], "error": [0] * len(s.keys) + [s.error]})
 
-    return each.select("source", F.xxhash64("doc").alias("doc_hash"), F.xxhash64("key").alias("hash")).mapInPandas(emit, "source string, hash bigint, n bigint, error bigint")
+    return each.select("source", F.xxhash64("doc").alias("doc_hash"), "hash").mapInPandas(emit, "source string, hash bigint, n bigint, error bigint")
 
 
 def small_set(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -100,22 +101,23 @@ def small_set(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def confirmed(each: DataFrame, sizes: DataFrame, share: float = MIN_SHARE, least: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(occurrences of candidates, confirmed lines). sizes: source, n_docs of every source."""
-    merged = summaries(each, share)
+    merged = materialize(summaries(each, share), "line-summaries")
     errors = merged.groupBy("source").agg(F.sum("error").alias("error"))
     upper = merged.where("hash is not null").groupBy("source", "hash").agg(F.sum("n").alias("n"))
     frequent = upper.join(errors, "source").join(sizes, "source").where(F.col("n") + F.col("error") >= F.greatest(F.lit(float(least)), share * F.col("n_docs")))
     candidates = materialize(frequent.select("source", "hash"), "line-candidates")
-    tried = materialize(each.withColumn("hash", F.xxhash64("key")).join(small_set(candidates), ["source", "hash"], "left_semi").drop("hash"), "line-occurrences")
-    exact = tried.groupBy("source", "key", "doc").agg(F.lit(1).alias("one")).groupBy("source", "key").agg(F.count("*").alias("n"))
-    kept = exact.join(sizes, "source").where(F.col("n") >= F.greatest(F.lit(float(least)), share * F.col("n_docs"))).select("source", "key", "n", "n_docs")
+    tried = materialize(each.join(small_set(candidates), ["source", "hash"], "left_semi"), "line-occurrences")
+    exact = tried.groupBy("source", "hash", "check", "doc").agg(F.lit(1).alias("one")).groupBy("source", "hash", "check").agg(F.count("*").alias("n"))
+    kept = exact.join(sizes, "source").where(F.col("n") >= F.greatest(F.lit(float(least)), share * F.col("n_docs"))).select("source", "hash", "check", "n", "n_docs")
     return tried, materialize(kept, "line-confirmed")
 
 
 def found(df: DataFrame, source: Column, doc: Column, row: Column, text: Column, split: bool = True) -> DataFrame:
     """(row_id, line_no) of every repeated line."""
     sizes = df.select(source.alias("source"), doc.alias("doc")).where("source is not null and doc is not null").distinct().groupBy("source").agg(F.count("*").alias("n_docs"))
-    tried, kept = confirmed(lines(df, source, doc, row, text, split), sizes)
-    return tried.join(small_set(kept.select("source", "key")), ["source", "key"], "left_semi").select("row_id", "line_no").distinct()
+    each = materialize(lines(df, source, doc, row, text, split), "lines")  # the texts are read once
+    tried, kept = confirmed(each, sizes)
+    return tried.join(small_set(kept.select("source", "hash", "check")), ["source", "hash", "check"], "left_semi").select("row_id", "line_no").distinct()
 
 
 def remove(df: DataFrame, row: str, text: str, where: DataFrame, split: bool = True) -> DataFrame:
