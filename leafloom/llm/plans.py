@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, leaks, repeated, residue, splits
+from leafloom.llm import canon, leaks, repeated, residue, scanned, splits
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,24 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked(spark, sf_dir).where((F.col("run") >= leaks.MIN_WORDS) | (F.col("share") >= 0.5))
     items = read(spark, sf_dir, "test_items").select("item_id", "suite")
     return found.join(items, "item_id").groupBy("suite", "item_id").agg(F.countDistinct("row_id").alias("n_docs"), F.count_if(F.col("run") >= leaks.MIN_WORDS).alias("n_exact"), F.max("share").alias("best_share"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The texts that may carry a scan's noise, and the reviewed readings, which only count."""
+    documents, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "review_items")
+    texts = documents.select(F.lit("text").alias("field_name"), F.col("doc_id").alias("row_id"), F.col("text").alias("t"), "title")
+    for field in ("ocr_text", "source_text"):
+        texts = texts.unionByName(items.select(F.lit(field).alias("field_name"), F.col("item_no").alias("row_id"), F.col(field).alias("t"), F.lit(None).cast("string").alias("title")))
+    return texts, items.select(F.col("vision_text").alias("t"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.Findings(*page_texts(spark, sf_dir)).defects()
+
+
+@query
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts in continuous paragraphs."""
+    texts, readings = page_texts(spark, sf_dir)
+    return scanned.Findings(texts, readings).repaired(texts.distinct()).select("field_name", "row_id", F.col("t").alias("text"))
