@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, leaks, repeated, residue, scanned, splits
+from leafloom.llm import canon, leaks, packing, repeated, residue, scanned, splits
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,10 @@ def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts in continuous paragraphs."""
     texts, readings = page_texts(spark, sf_dir)
     return scanned.Findings(texts, readings).repaired(texts.distinct()).select("field_name", "row_id", F.col("t").alias("text"))
+
+
+@query
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its container for each capacity."""
+    sized = packing.token_counts(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+    return packing.pack(sized, read(spark, sf_dir, "token_budgets")).withColumnRenamed("item_id", "doc_id")

@@ -123,7 +123,7 @@ def assign(rows: DataFrame, table: DataFrame, plan: DataFrame, persisted: DataFr
     else:
         held = persisted.join(table, "code").groupBy("root").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     state = materialize(size.join(held, "root", "left").withColumn("part", F.pmod(F.xxhash64("entity"), F.lit(BUCKETS)).cast("string")), "split-state")
-    shares = {r.split_name: r.target_share for r in plan.groupBy(split_name(F.col("split_name")).alias("split_name")).agg(F.sum("target_share").alias("target_share")).where("split_name is not null").limit(1000).collect()}
+    shares = {r.split_name: r.target_share for r in plan.groupBy(split_name(F.col("split_name")).alias("split_name")).agg(F.sum("target_share").alias("target_share")).where("split_name is not null").collect()}
     total = state.agg(F.sum("n")).first()[0] or 0
     floor = max(1, -(-total // LARGE))
     new = state.where("lo is null").withColumn("part", F.when(F.col("n") >= floor, F.col("entity")).otherwise(F.col("part")))
