@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, leaks, packing, repeated, residue, scanned, splits
+from leafloom.llm import canon, leaks, overlap, packing, repeated, residue, scanned, splits
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,20 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its container for each capacity."""
     sized = packing.token_counts(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
     return packing.pack(sized, read(spark, sf_dir, "token_budgets")).withColumnRenamed("item_id", "doc_id")
+
+
+def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(read(spark, sf_dir, "samples"), F.col("sample_no"), F.col("text_lines"), splits.split_name(F.col("split_name")))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossing(spark, sf_dir).select(F.least("train_record", "held_record").alias("sample_a"), F.greatest("train_record", "held_record").alias("sample_b")).distinct()
+
+
+@query
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by the held-out sample's split and book."""
+    coded = coded_samples(spark, sf_dir).select(F.col("sample_no").alias("held_record"), splits.key_of(F.get("codes", F.lit(0))).alias("book")).dropDuplicates(["held_record"])
+    kind = F.when(F.col("distance") == 0, "same").otherwise("near")
+    return crossing(spark, sf_dir).join(coded, "held_record", "left").groupBy("held_split", "book", kind.alias("kind")).agg(F.count("*").alias("n_pairs"), F.countDistinct("held_record").alias("n_held"))
