@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from leafloom.plans import nested  # noqa: F401
+    from leafloom.plans import geometry, nested, quality  # noqa: F401
