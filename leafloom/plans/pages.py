@@ -243,3 +243,25 @@ def tumbling(spark, sf):
 def sessions(spark, sf):
     e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
+
+
+@query("pipe_translation_ready", X.twin("nodes", f"with {UNITS} select 'units' as tbl, count(*) as n from units union all select 'unit_problems', 0 union all select 'sections', count(*) from (select distinct n.page_id, (select max(r.y) from nodes r where r.page_id=n.page_id and r.type='rule' and r.w>=20*r.h and r.y<=n.y+n.h/2.0) from nodes n where not (n.type='rule' and n.w>=20*n.h))"))
+def pipe_translation_ready(spark, sf):
+    """The chain that makes pages ready for translation, as one lazy plan; rows of its results."""
+    from leafloom import transforms
+
+    n = X.nodes(spark, sf)
+    ops = X.ops(spark, sf).withColumn("page_id", F.col("page_id").cast("bigint"))
+    out = transforms.run({"nodes": n, "ops": ops.where("false").withColumn("page_id", F.col("page_id").cast("string"))}, {"transforms": transforms.CHAINS["translation"]})
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
+    return count("units", out["units"]).unionByName(count("unit_problems", out["unit_problems"])).unionByName(count("sections", out["groups"].where("kind = 'section'")))
+
+
+@query("pipe_operation_groups")
+def pipe_operation_groups(spark, sf):
+    """Operations to groups with associated text, wrapped, as tables, with growth and tree: rows by kind. Parts have twins of their own."""
+    from leafloom import transforms
+
+    out = transforms.run({"ops": X.ops(spark, sf)}, {"transforms": ["geometry.operations-into-groups.v1", "layout.associate-text-operations.v1"]})
+    kinds = out["groups"].groupBy(F.col("kind").alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.unionByName(out["group_ops"].agg(F.count("*").alias("n")).select(F.lit("claims").alias("kind"), "n"))
