@@ -247,7 +247,7 @@ def sessions(spark, sf):
 
 @query("pipe_translation_ready", X.twin("nodes", f"with {UNITS} select 'units' as tbl, count(*) as n from units union all select 'unit_problems', 0 union all select 'sections', count(*) from (select distinct n.page_id, (select max(r.y) from nodes r where r.page_id=n.page_id and r.type='rule' and r.w>=20*r.h and r.y<=n.y+n.h/2.0) from nodes n where not (n.type='rule' and n.w>=20*n.h))"))
 def pipe_translation_ready(spark, sf):
-    """The chain that makes pages ready for translation, as one lazy plan; rows of its results."""
+    """The chain that makes pages ready for translation; rows of its results."""
     from leafloom import transforms
 
     n = X.nodes(spark, sf)

@@ -6,8 +6,9 @@ A document is a dict of DataFrames, keyed by page_id throughout:
   groups     page_id, group_id, parent_id, kind, x, y, w, h
   group_ops  page_id, group_id, ordinal
   structure  page_id, node_id, parent_id, role, mcid
-Every transform returns a new dict; tables it does not touch are passed on. The chain is one lazy plan: nothing runs
-between stages. check() gives the contract's violations of the end result as one more table.
+Every transform returns a new dict; tables it does not touch are passed on. A stage is a lazy plan; run() writes the
+ownership tables that a stage made anew once, as later stages read them several times. check() gives the contract's
+violations of the end result as one more table.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from leafloom.operators import content as C
 from leafloom.operators import match
 from leafloom.operators import tree as R
+from leafloom.session import materialize
 from leafloom.sources.manifests import ManifestError, stages
 
 Tables = dict[str, DataFrame]
@@ -47,7 +49,12 @@ def resolve(name: str) -> Transform:
 
 def run(tables: Tables, manifest: dict) -> Tables:
     """The manifest's transforms in its order; none is added, left out or moved."""
-    return reduce(lambda t, s: resolve(s[0])(t, s[1]), stages(manifest), dict(tables))
+
+    def stage(t: Tables, s: tuple[str, dict]) -> Tables:
+        out = resolve(s[0])(t, s[1])
+        return out | {k: materialize(out[k], k) for k in ("groups", "group_ops") if k in out and out[k] is not t.get(k)}
+
+    return reduce(stage, stages(manifest), dict(tables))
 
 
 def check(tables: Tables) -> DataFrame:
