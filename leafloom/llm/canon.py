@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafloom.session import materialize
+
 # Characters that are not drawn, spaces of any kind but line ends, and letters drawn as a Latin one.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff\ufe0e\ufe0f"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -150,7 +152,7 @@ def pairs(keyed: DataFrame, part_rows: int = 5_000) -> DataFrame:
     are spread over as many parts on one side and repeated for these parts on the other, so that no task
     gets a whole hot group.
     """
-    keyed = keyed.distinct()
+    keyed = materialize(keyed.distinct(), "look-keys")  # 40 bytes a row; the texts are canonicalised once
     size = keyed.groupBy("look").agg(F.count("*").alias("n"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("look", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
     rows = keyed.join(size, "look")
     left = rows.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).select("look", "part", F.col("row_id").alias("id_a"), F.col("raw").alias("raw_a"))
