@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import canon, leaks, overlap, packing, repeated, residue, scanned, splits
+from leafloom.llm import canon, leaks, overlap, packing, repeated, residue, scanned, splits, sql
 from leafloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p1_found": sql.P1, "p2_found": sql.P2, "p3_found": sql.P3, "p8_found": sql.P8}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
