@@ -77,3 +77,21 @@ def test_image_kernels():
 def test_formulas():
     assert render.formula_html("x_T") == "x<sub>T</sub>" and render.formula_html(r"\frac{a}{b}") == "a/b" and render.formula_html("{a") == "{a"
     assert render.formula_mathml(r"\sqrt{x^2}") == "<math><msqrt><mrow><msup><mi>x</mi><mn>2</mn></msup></mrow></msqrt></math>" and render.formula_mathml(r"\nope") == r"<math><mtext>\nope</mtext></math>"
+
+
+def test_layout_detection(spark):
+    from leafloom.operators import detect as D
+
+    rows = [D.Row(20, 20, 180, 12), D.Row(33, 20, 180, 3), D.Row(50, 20, 180, 12)]
+    kept, actions = D.clean_short(rows, 200, 300)
+    assert len(kept) == 2 and [a[0] for a in actions] == ["merge_adjacent_short_row"]
+    assert D.clean_short([D.Row(20, 20, 100, 30), D.Row(25, 30, 40, 3)], 200, 300)[1][0][0] == "remove_contained_short_row" and D.clean_short([], 10, 10) == ([], [])
+    img = np.full((300, 500), 255, np.uint8)
+    img[40:42, 30:470] = 0
+    img[250:252, 30:470] = 0
+    for y in (80, 120, 160):
+        img[y : y + 14, 60:400] = 0
+    found = D.detect(img)
+    assert sum(f[0] == "rule" for f in found) == 2 and sum(f[0] == "text_band" for f in found) >= 3
+    df = spark.createDataFrame([("p", 300, 500, bytearray(img.tobytes())), ("none", 1, 1, None)], "page_id string, height long, width long, data binary")
+    assert I.per_image(df, D.detect, D.SCHEMA).where("kind = 'rule'").count() == 2
