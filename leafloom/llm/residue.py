@@ -163,16 +163,16 @@ def signs(df: DataFrame, row: Column, text: Column) -> DataFrame:
 
 
 def found(df: DataFrame, row: Column, text: Column, site_lines: DataFrame | None = None, min_share: float = MIN_SHARE) -> DataFrame:
-    """(row_id, share): the residue documents. site_lines: (row_id, line_no) to leave aside."""
+    """(row_id, share): the residue documents. site_lines: (row_id, line_no) of which only the residue counts."""
     judged = signs(df, row, text)
     if site_lines is None:
         judged = judged.withColumn("site", F.array().cast("array<bigint>"))
     else:
         judged = judged.join(site_lines.groupBy("row_id").agg(F.collect_set("line_no").alias("site")), "row_id", "left").withColumn("site", F.coalesce("site", F.array().cast("array<bigint>")))
 
-    def total(c: str) -> Column:
-        own = F.filter(c, lambda _, i: ~F.array_contains("site", i.cast("bigint")))
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-    share = total("residue") / F.greatest(total("letters"), F.lit(1))
+    counted = F.transform("letters", lambda x, i: F.when(F.array_contains("site", i.cast("bigint")), F.get("residue", i)).otherwise(x))
+    share = total(F.col("residue")) / F.greatest(total(counted), F.lit(1))
     return judged.withColumn("share", share).where(F.col("open_field") | (F.col("share") >= min_share)).groupBy("row_id").agg(F.max("share").alias("share"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leafloom.llm import residue
+from leafloom.llm import plans, residue
 
 BODY = "Each optical lens that reflects the beam has a mirror of 12 cm and a prism of 3 kg. The current of the coil limits the charge near the magnet. Compare the outer gauge with the inner valve, since the filter encloses it. "
 CASES = [
@@ -32,6 +32,16 @@ def test_site_lines_are_left_aside(spark):
     assert residue.found(*args, min_share=0.5).count() == 0 and residue.found(*args, site, min_share=0.5).count() == 1
 
 
+def test_an_error_page_served_many_times(spark):
+    page = "Folio desk of the Vasdrea readers\n502 Bad Gateway: please try again later.\nRequest %d"
+    texts = [page % k for k in range(8)] + [f"Folio desk of the Vasdrea readers\nPlate {'abcdefgh'[k] * 9} of the lens. {BODY}" for k in range(8)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    site = plans.repeated_lines(df)
+    assert site.where("line_no = 1 and row_id < 8").count() == 8
+    got = {r.row_id for r in residue.found(df, F.col("doc_id"), F.col("text"), site).collect()}
+    assert got == set(range(8))
+
+
 @pytest.mark.parametrize("text", [BODY * 3000, "word " * 100_000])
 def test_very_long(text):
     found = residue.judge(text)
