@@ -1,7 +1,7 @@
 """Template residue, filler and error-page text (problem 9).
 
 One automaton holds the phrases of all languages; one expression holds the shapes of unfilled placeholders. A text's
-sentences that carry a phrase outside quotes, windows of words with hardly any variety (filler) and lines of empty
+sentences that carry a phrase outside quotes, windows of words with hardly any variety or of filler words, and lines of empty
 fields count as residue. A document is excluded when it has a placeholder where content belongs, or when residue
 covers at least min_share of its letters, site lines (those repeated within the source) left aside.
 
@@ -60,6 +60,19 @@ WORD = re.compile(r"[^\W\d_]+")
 QUOTES = "\"'`„“”‚‘’«»"
 LONGEST_SENTENCE = 240
 WINDOW, VARIETY, FEWEST = 40, 0.45, 8
+SHORT, MOST_VARIETY = 20, 0.6
+
+# Words of filler; those after the bar are words of real texts as well and count beside the others only.
+LATIN, SMALL = (
+    frozenset(x.split())
+    for x in """
+lorem ipsum dolor amet consectetur consectetuer adipiscing adipisicing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum
+vestibulum pellentesque praesent curabitur suspendisse phasellus aenean vivamus maecenas donec etiam fusce integer nullam quisque vehicula sagittis tincidunt ultrices ultricies vulputate facilisis fringilla hendrerit imperdiet interdum lacinia lacus laoreet lectus libero ligula lobortis luctus malesuada massa mattis mauris metus molestie morbi nibh nunc odio orci ornare pharetra placerat porta porttitor posuere pretium proin purus quam risus rhoncus rutrum sapien scelerisque sodales sollicitudin tellus tempus tortor turpis urna varius venenatis viverra volutpat accumsan aliquam aliquet ante arcu augue bibendum blandit condimentum congue convallis cras cursus dapibus dictum dignissim egestas eget eleifend elementum erat eros euismod faucibus felis fermentum feugiat gravida iaculis justo leo
+orem velum vestor quila nunca palim sanda rebus porti tincto corda senu
+|
+sit sed do ut et ad ex ea in eu non qui id est ac at nec vel per pro quisquam neque a
+""".split("|")
+)
 
 
 class Phrases:
@@ -95,8 +108,34 @@ def placeholder(text: str) -> bool:
 
 
 def filler(words: list[str]) -> bool:
-    """Whether some words have hardly any variety."""
-    return len(words) >= FEWEST and len(set(words)) <= max(2, VARIETY * len(words))
+    """Whether some words have hardly any variety; fewer words repeat less by chance, so the bound is wider for them."""
+    n = len(words)
+    if n < FEWEST:
+        return False
+    different = len(set(words))
+    if different <= max(2, VARIETY * n):
+        return True
+    longer = [w for w in words if len(w) > 1] if n >= SHORT and different <= MOST_VARIETY * n else []  # spaced letters vary little
+    return len(longer) >= SHORT and len(set(longer)) <= min(MOST_VARIETY, VARIETY + 0.01 * (WINDOW - len(longer))) * len(longer)
+
+
+def latin(words: list[str]) -> set[int]:
+    """The places of words in runs of FEWEST (or all of at least 4) words of which three in four are words of filler."""
+    size = min(FEWEST, len(words))
+    plain = [w.strip(".,;:!?()-") for w in words]
+    if size < 4 or LATIN.isdisjoint(plain):
+        return set()
+    own = [w in LATIN for w in plain]
+    each = [a or w in SMALL for a, w in zip(own, plain)]
+    marked: set[int] = set()
+    n_each, n_own = sum(each[:size]), sum(own[:size])
+    for k in range(len(words) - size + 1):
+        if k:
+            n_each += each[k + size - 1] - each[k - 1]
+            n_own += own[k + size - 1] - own[k - 1]
+        if 4 * n_each >= 3 * size and 2 * n_own >= size:
+            marked.update(range(k, k + size))
+    return marked
 
 
 def judge(text: str) -> tuple[bool, list[int], list[int]] | None:
@@ -116,7 +155,8 @@ def judge(text: str) -> tuple[bool, list[int], list[int]] | None:
     fields = [i for i, x in enumerate(lines) if EMPTY_FIELD.match(x)] if ("TBD" in text or "TODO" in text or "N/A" in text or "XX" in text or "FIXME" in text or "TBA" in text or "??" in text) else []
     words = lower.split()
     thin = [k for k in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2) if filler(words[k : k + WINDOW])]
-    if not (spans or open_field or unset or fields or thin):
+    marked = latin(words)
+    if not (spans or open_field or unset or fields or thin or marked):
         return None
     letters = [sum(map(len, WORD.findall(x))) for x in lines]
     starts = [0]
@@ -136,8 +176,7 @@ def judge(text: str) -> tuple[bool, list[int], list[int]] | None:
                     residue[i] += sum(e - s for s, e in inside)
     for i in fields:
         residue[i] = letters[i]
-    if thin:
-        marked = set()
+    if thin or marked:
         for k in thin:
             marked.update(range(k, min(len(words), k + WINDOW)))
         at = 0

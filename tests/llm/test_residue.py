@@ -42,6 +42,24 @@ def test_an_error_page_served_many_times(spark):
     assert got == set(range(8))
 
 
+def test_short_filler():
+    import random
+
+    rng = random.Random(3)
+    latin = "lorem velum nunca rebus dolor senu vestor quila tincto corda porti orem palim amet sanda ipsum".split()
+    common = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud ullamco laboris".split()
+    for words in (latin, common):
+        for n in (12, 20, 25, 30, 40):
+            for _ in range(50):
+                judged = residue.judge(" ".join(rng.choices(words, k=n)) + ".")
+                assert judged and sum(judged[2]) >= 0.9 * sum(judged[1])
+    other = "wozu kleb trund salp nerig bosta fimel grund laster pondu kires vamol tesch ulbar hinto dramel".split()
+    found = sum(bool(residue.judge(" ".join(rng.choices(other, k=30)))) for _ in range(300))
+    assert found >= 0.85 * 300
+    assert residue.judge("S e r e a g e n t o f g e m k a r g a i r t n e r whenever the alloy deforms the amplitude.") is None
+    assert residue.judge("The motto was: sed in et ut non est. The lens is of quartz and the mirror of tin; do it at an angle.") is None
+
+
 @pytest.mark.parametrize("text", [BODY * 3000, "word " * 100_000])
 def test_very_long(text):
     found = residue.judge(text)
