@@ -1,7 +1,8 @@
 """Noise in text from scanned pages (problem 6).
 
-1. Words are counted over all texts; halves of words broken at line ends are left out.
-2. Rare words are linked to words at least RATIO times as frequent that plausible glyph edits lead to.
+1. Words are counted over all texts, and over the different texts; halves of words broken at line ends are left out.
+2. Rare words are linked to words at least RATIO times as frequent, by either count, that plausible glyph edits lead
+   to; so a text copied under many ids cannot make its misreadings look like words.
 3. One scan marks furniture (running heads, page numbers) and broken words, lists the words that are not known to be
    good with their context, and learns skip-gram count vectors of the link targets: how often which words, hashed
    to BUCKETS, stand within WINDOW words of a target.
@@ -131,27 +132,37 @@ class Chunks(dict):
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts(t). Chunks are counted first, so that each different one is read once a task."""
+    """(word, n, n_apart) over all texts(t): how often in all rows, and how often when equal texts count once. Chunks are counted first, so that each different one is read once a task."""
 
-    def words_of(chunks: Counter) -> pd.DataFrame:
-        counts: Counter = Counter()
+    def words_of(chunks: Counter, more: Counter) -> pd.DataFrame:
+        apart: Counter = Counter()
+        repeated: Counter = Counter()
         for chunk, n in chunks.items():
+            again = more[chunk]
             for w in TOKEN.findall(canonical(chunk).lower()):
-                counts[w] += n
-        return pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                apart[w] += n
+                if again:
+                    repeated[w] += again
+        return pd.DataFrame({"word": list(apart), "n": [n + repeated[w] for w, n in apart.items()], "n_apart": list(apart.values())})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunks: Counter = Counter()
+        more: Counter = Counter()  # by further rows of the same text
         for batch in batches:
-            for t in batch["t"]:
-                chunks.update((BROKEN.sub(" ", t) if LINE_MARK(t) else t).split())
+            for t, times in zip(batch["t"], batch["times"]):
+                parts = (BROKEN.sub(" ", t) if LINE_MARK(t) else t).split()
+                chunks.update(parts)
+                if times > 1:
+                    for chunk in parts:
+                        more[chunk] += times - 1
             if len(chunks) > FLUSH:
-                yield words_of(chunks)
-                chunks = Counter()
+                yield words_of(chunks, more)
+                chunks, more = Counter(), Counter()
         if chunks:
-            yield words_of(chunks)
+            yield words_of(chunks, more)
 
-    return texts.select("t").where("t is not null").mapInPandas(emit, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    different = texts.select("t").where("t is not null").groupBy("t").agg(F.count("*").alias("times"))
+    return different.mapInPandas(emit, "word string, n bigint, n_apart bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_apart").alias("n_apart"))
 
 
 _EDITS = [(a, b) for a, bs in {**{k: (v,) for k, v in GLYPHS.items()}, **EXTRA}.items() for b in bs]
@@ -185,17 +196,18 @@ def repairs(word: str) -> set[str]:
 
 
 def links(vocab: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(word, target, n_word, n_target): every rare word with each far more frequent word it may be a misreading of."""
+    """(word, target, n_word, n_target): every rare word with each far more frequent word it may be a misreading of, be it by rows or where equal texts count once."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(w, int(n), r) for w, n in zip(batch["word"], batch["n"]) if len(w) > 1 and not w.isdigit() for r in repairs(w)]
+            rows = [(w, int(n), int(m), r) for w, n, m in zip(batch["word"], batch["n"], batch["n_apart"]) if len(w) > 1 and not w.isdigit() for r in repairs(w)]
             if rows:
-                yield pd.DataFrame(rows, columns=["word", "n_word", "target"])
+                yield pd.DataFrame(rows, columns=["word", "n_word", "apart_word", "target"])
 
-    tried = vocab.mapInPandas(emit, "word string, n_word bigint, target string")
-    frequent = vocab.where(F.col("n") >= least).select(F.col("word").alias("target"), F.col("n").alias("n_target"))
-    return tried.join(frequent, "target").where(F.col("n_target") >= ratio * F.col("n_word")).select("word", "target", "n_word", "n_target")
+    tried = vocab.mapInPandas(emit, "word string, n_word bigint, apart_word bigint, target string")
+    frequent = vocab.where(F.col("n") >= least).select(F.col("word").alias("target"), F.col("n").alias("n_target"), F.col("n_apart").alias("apart_target"))
+    far = (F.col("n_target") >= ratio * F.col("n_word")) | ((F.col("apart_target") >= ratio * F.col("apart_word")) & (F.col("apart_target") >= least))
+    return tried.join(frequent, "target").where(far).select("word", "target", "n_word", "n_target")
 
 
 def bucket(word: str) -> int:

@@ -33,6 +33,13 @@ def test_repair(found):
     assert rows[101] is None and rows[102] == "" and "\n" not in rows[100]
 
 
+def test_a_misreading_in_many_copies(spark):
+    clean = [f"The lens number {k} of the hollow magnet limits the current." for k in range(8)]
+    rows = [("text", k, t, None) for k, t in enumerate(clean)] + [("text", 100 + k, "Before the rnagnet of plate Danzol it is cold.", None) for k in range(50)]
+    got = {(r.row_id, r.line_no, r.defect) for r in scanned.Findings(frame(spark, rows)).defects().collect()}
+    assert got == {(100 + k, 0, "char") for k in range(50)}
+
+
 def test_empty_and_long(spark):
     f = scanned.Findings(frame(spark, [("text", 1, "word-\ning " * 50_000, None)]))
     assert f.defects().where("defect = 'hyphen'").count() == 50_000 - 0
