@@ -7,7 +7,8 @@
    good with their context, and learns skip-gram count vectors of the link targets: how often which words, hashed
    to BUCKETS, stand within WINDOW words of a target.
 4. Each doubtful word is corrected in context: of its links the one whose vector explains its neighbours best.
-5. Texts are repaired from the marks: furniture out, words joined, words corrected, lines flowed into paragraphs.
+5. Texts are repaired: furniture out, words joined, words and numbers corrected; lines flow into paragraphs whether or
+   not there are other marks.
 
 Defined results
 * null and empty texts have no defects and stay as they are; an empty table gives an empty table.
@@ -39,6 +40,8 @@ SURE = "@0159"
 RATIO, LEAST = 6.0, 3
 KNOWN = 200_000
 WINDOW, BUCKETS = 2, 64
+MIXED, MIXED_TRUE = "@0159", "aolsg"
+PAGE_WIDTH = 110
 FLUSH = 300_000
 
 TOKEN = re.compile(r"[\w@]+(?:-[\w@]+)*")
@@ -398,15 +401,18 @@ class Findings:
     def repaired(self, texts: DataFrame) -> DataFrame:
         """texts with t in continuous paragraphs."""
         key = ["field_name", "row_id"]
-        fixes = self.corrections.groupBy(*key).agg(F.collect_set(F.struct("line_no", "line_2", "word", "target")).alias("fixes"))
+        glyphs = self.mixed.select(*key, "line_no", "line_2", "word", F.translate("word", MIXED, MIXED_TRUE).alias("target"))
+        words = self.corrections.select(*key, "line_no", "line_2", "word", "target").unionByName(glyphs)
+        fixes = words.groupBy(*key).agg(F.collect_set(F.struct("line_no", "line_2", "word", "target")).alias("fixes"))
         joins = self.broken().groupBy(*key).agg(F.collect_set("line_no").alias("joins"))
         gone = self.marks.where("kind = 'page_line'").groupBy(*key).agg(F.collect_set("line_no").alias("gone"))
-        marked = texts.join(fixes, key, "left").join(joins, key, "left").join(gone, key, "left")
+        numbers = self.marks.where("kind = 'number'").groupBy(*key).agg(F.lit(True).alias("numbers"))
+        marked = texts.join(fixes, key, "left").join(joins, key, "left").join(gone, key, "left").join(numbers, key, "left")
 
-        def mend(t: pd.Series, fixes: pd.Series, joins: pd.Series, gone: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else _mend(x, f, j, g) for x, f, j, g in zip(t, fixes, joins, gone)], dtype=object)
+        def mend(field: pd.Series, t: pd.Series, fixes: pd.Series, joins: pd.Series, gone: pd.Series, numbers: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else _mend(x, f, j, g, n is not None and bool(n), name != "text") for name, x, f, j, g, n in zip(field, t, fixes, joins, gone, numbers)], dtype=object)
 
-        return marked.withColumn("t", F.pandas_udf(mend, "string")("t", "fixes", "joins", "gone")).drop("fixes", "joins", "gone")
+        return marked.withColumn("t", F.pandas_udf(mend, "string")("field_name", "t", "fixes", "joins", "gone", F.coalesce("numbers", F.lit(False)))).drop("fixes", "joins", "gone", "numbers")
 
 
 def _as_written(word: str, target: str) -> str:
@@ -415,26 +421,52 @@ def _as_written(word: str, target: str) -> str:
     return target[:1].upper() + target[1:] if word[:1].isupper() else target
 
 
-def _mend(text: str, fixes, joins, gone) -> str:
-    if fixes is None and joins is None and gone is None:
-        return text
+def _flows(line: str, follow: str, width: int) -> bool:
+    """Whether a line of a document goes on in the next one: broken amid a sentence, or full in a text set to a width."""
+    if line[-1:] not in ".!?:" and follow[:1].islower():
+        return True
+    return width <= PAGE_WIDTH and len(line) + 1 + len(follow.split(" ")[0]) > width
+
+
+def _mend(text: str, fixes, joins, gone, numbers: bool = False, page: bool = True) -> str:
+    """page: the text is one piece of a page, so all its lines flow; in a document a line may also be a paragraph."""
     lines = text.split("\n")
+    clean = fixes is None and joins is None and gone is None and not numbers
+    if clean and len(lines) == 1:
+        return text
     drop = set() if gone is None else {int(i) for i in gone}
     joined = set() if joins is None else {int(i) for i in joins}
     better = {f["word"]: f["target"] for f in (fixes if fixes is not None else [])}
-    paragraphs, now, pending = [], "", False
+    width = max((len(x.rstrip()) for i, x in enumerate(lines) if i not in drop), default=0)
+    paragraphs, now, last, pending, flowed = [], "", "", False, False
+    parted = dropped = False  # since the last line that was kept: a blank line, furniture
     for i, x in enumerate(lines):
         if i in drop:
+            dropped = True
             continue
         kept = i not in joined and bool(BREAK.search(x))  # the mark belongs to the word
+        raw = x.strip()
         x = canonical(x.rstrip()[:-1] if i in joined else x.rstrip())
         if not x.strip():
-            if not pending and now.rstrip()[-1:] in ".!?:":
+            parted = True
+            continue
+        if now and not pending:
+            ends = now.rstrip()[-1:] in ".!?:"
+            if page:
+                new = parted and ends
+            elif parted or dropped:
+                new = ends or (parted and not dropped)
+            else:
+                new = not _flows(last, raw, width)
+            if new:
                 paragraphs.append(now)
                 now = ""
-            continue
+        flowed = flowed or bool(now)
         now = now + x.lstrip() if pending else f"{now} {x.strip()}" if now else x.strip()
+        last, parted, dropped = raw, False, False
         pending = i in joined or kept
+    if clean and not flowed:
+        return text
     paragraphs.append(now)
     body = NUMBER.sub(lambda m: m.group().translate(DIGITS), "\n".join(p for p in paragraphs if p))
     return TOKEN.sub(lambda m: _as_written(m.group(), better[m.group().lower()]) if m.group().lower() in better else m.group(), body) if better else body

@@ -40,6 +40,16 @@ def test_a_misreading_in_many_copies(spark):
     assert got == {(100 + k, 0, "char") for k in range(50)}
 
 
+def test_repair_without_other_marks(spark):
+    wrapped = "The hollow lens of the mirror separates the\ncurrent of the coil. The gauge limits the\nmagnet."
+    apart = "Elastic lens\n\nThe hollow lens separates the mirror, which was measured at the survey before the magnet was cold; then it limits the coil.\nThe gauge is cold."
+    rows = [("ocr_text", 1, "The friction of 368.S kPa.", None), ("ocr_text", 2, wrapped, None), ("text", 3, "A title\n" + wrapped, None), ("text", 4, apart, None), ("ocr_text", 5, "The qu@rtz is cold.", None), ("text", 6, "The one  lens", None)]
+    texts = frame(spark, rows)
+    got = {r.row_id: r.t for r in scanned.Findings(texts).repaired(texts.select("field_name", "row_id", "t")).collect()}
+    flat = wrapped.replace("\n", " ")
+    assert got == {1: "The friction of 368.5 kPa.", 2: flat, 3: "A title\n" + flat, 4: apart, 5: "The quartz is cold.", 6: "The one  lens"}
+
+
 def test_empty_and_long(spark):
     f = scanned.Findings(frame(spark, [("text", 1, "word-\ning " * 50_000, None)]))
     assert f.defects().where("defect = 'hyphen'").count() == 50_000 - 0
