@@ -5,6 +5,7 @@
    seeds. A run of that length holds a seed by construction, so no exact leak is lost by leaving common n-grams out.
 3. Documents are joined to items by their seeds; Smith-Waterman alignment over words, around the seeds,
    scores paraphrased and edited copies, and the longest common run of words is measured exactly.
+4. For the report, edited copies are also looked for by all 3-grams, two of them about one diagonal, in a scan of their own.
 
 The items are a stated query set: they are taken in blocks of at most BLOCK passages, so what goes to the tasks is bounded.
 
@@ -32,6 +33,7 @@ from leafloom.llm.canon import canonical
 from leafloom.session import materialize
 
 MIN_WORDS, GRAM, BLOCK = 13, 8, 5_000
+EDITED_GRAM, BAND, EDITED_SHARE = 3, 8, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -182,8 +184,63 @@ def compare(hits: DataFrame, passages: dict[int, np.ndarray], seed_of: dict[int,
     return hits.select("row_id", "words", "starts", "grams").mapInPandas(emit, "row_id bigint, item_id bigint, run bigint, score bigint, share double")
 
 
-def leaks(df: DataFrame, row: Column, text: Column, items: DataFrame, min_words: int = MIN_WORDS, n: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """All (row, item) that share a seed, with their scores. items: item_id, passage."""
+def edited(df: DataFrame, row: Column, text: Column, passages: dict[int, np.ndarray], least: float = EDITED_SHARE, n: int = EDITED_GRAM) -> DataFrame:
+    """(row_id, item_id, run, score, share) of the pairs of at least that share that have two n-grams about one diagonal, however short the intact runs are."""
+    names = np.array(sorted(passages), np.int64)
+    each = [grams(passages[i], n) for i in names.tolist()]
+    every = np.concatenate(each) if each else np.empty(0, np.int64)
+    order = np.argsort(every, kind="stable")
+    wanted = every[order]
+    owner = np.repeat(np.arange(len(names)), [len(g) for g in each])[order]
+    place = np.concatenate([np.arange(len(g)) for g in each])[order] if each else np.empty(0, np.int64)
+    sets = [np.unique(passages[i]) for i in names.tolist()]
+
+    def pairs(hashes: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        own = grams(hashes, n)
+        lo, hi = np.searchsorted(wanted, own, "left"), np.searchsorted(wanted, own, "right")
+        at = np.flatnonzero(hi > lo)
+        size = (hi - lo)[at]
+        if size.sum() < 2:
+            return
+        k = np.repeat(lo[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start = np.repeat(at, size)
+        item, diagonal = owner[k], start - place[k]
+        by = np.lexsort((diagonal, item))
+        item, diagonal, start = item[by], diagonal[by], start[by]
+        close = (item[1:] == item[:-1]) & (np.diff(diagonal) <= BAND)
+        good = np.zeros(len(item), bool)
+        good[1:] |= close
+        good[:-1] |= close
+        item, start = item[good], start[good]
+        for i in np.unique(item).tolist():
+            passage = passages[int(names[i])]
+            size_p, best = len(passage), (0, 0)
+            for a, b in _windows(start[item == i].tolist(), 2 * size_p, len(hashes)):
+                window = hashes[a:b]
+                # a share s takes s x size matches or more, and an alignment of a share over 0 spans at most 3 x size words
+                in_passage = np.concatenate([[0], np.cumsum(np.isin(window, sets[i]))])
+                span = min(len(window), 3 * size_p)
+                if (in_passage[span:] - in_passage[: len(in_passage) - span]).max() < least * size_p:
+                    continue
+                score = align(passage, window)
+                if score >= least * MATCH * size_p:
+                    best = max(best, (score, longest_run(passage, window)))
+            if best[0]:
+                yield int(names[i]), best[1], best[0], best[0] / (MATCH * size_p)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHash()
+        for batch in batches:
+            rows = [(i, *found) for i, t in zip(batch["row_id"], batch["t"]) for found in pairs(memo.of(words(t)))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["row_id", "item_id", "run", "score", "share"])
+
+    source = df.select(row.cast("bigint").alias("row_id"), text.alias("t")).where("row_id is not null and t is not null")
+    return source.mapInPandas(emit, "row_id bigint, item_id bigint, run bigint, score bigint, share double")
+
+
+def leaks(df: DataFrame, row: Column, text: Column, items: DataFrame, min_words: int = MIN_WORDS, n: int = GRAM, block: int = BLOCK, edits: bool = False) -> DataFrame:
+    """All (row, item) that share a seed, with their scores. items: item_id, passage. edits: also edited copies without a seed."""
     spark = df.sparkSession
     n_blocks = max(1, -(-items.count() // block))
     out = None
@@ -197,5 +254,7 @@ def leaks(df: DataFrame, row: Column, text: Column, items: DataFrame, min_words:
         counted = hits.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
         counts = {r.g: r.n for r in counted.toLocalIterator()}  # at most as many as the block's n-grams
         found = compare(hits, passages, seeds(passages, counts, min_words, n))
+        if edits:
+            found = found.unionByName(edited(df, row, text, passages))
         out = found if out is None else out.unionByName(found)
     return out.groupBy("row_id", "item_id").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))

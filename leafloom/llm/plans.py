@@ -91,8 +91,8 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "text").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), read(spark, sf_dir, "test_items"))
+def leaked(spark: SparkSession, sf_dir: str, edits: bool = False) -> DataFrame:
+    return leaks.leaks(read(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), read(spark, sf_dir, "test_items"), edits=edits)
 
 
 @query
@@ -103,7 +103,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which items leaked, exactly or edited, into how many documents."""
-    found = leaked(spark, sf_dir).where((F.col("run") >= leaks.MIN_WORDS) | (F.col("share") >= 0.5))
+    found = leaked(spark, sf_dir, edits=True).where((F.col("run") >= leaks.MIN_WORDS) | (F.col("share") >= 0.5))
     items = read(spark, sf_dir, "test_items").select("item_id", "suite")
     return found.join(items, "item_id").groupBy("suite", "item_id").agg(F.countDistinct("row_id").alias("n_docs"), F.count_if(F.col("run") >= leaks.MIN_WORDS).alias("n_exact"), F.max("share").alias("best_share"))
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +41,29 @@ def test_small_cases(spark):
     assert leaks.leaks(d, F.col("doc_id"), F.col("t"), i.where("false")).count() == 0
 
 
+def test_edited_copies(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvz", k=6))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(30)]
+    filling = lambda: " ".join(word() for _ in range(60))
+    docs = []
+    for every in (8, 5, 4):
+        for k, p in items:
+            docs.append((every * 100 + k, f"{filling()} {' '.join(word() if j % every == every - 1 else w for j, w in enumerate(p.split()))} {filling()}"))
+    for k, p in items:  # random changes, insertions and deletions of 15 % of the words
+        edits = [rng.choice([word(), w + " " + word(), ""]) if rng.random() < 0.15 else w for w in p.split()]
+        docs.append((k, f"{filling()} {' '.join(edits)} {filling()}"))
+    d = spark.createDataFrame(docs, "doc_id long, t string")
+    i = spark.createDataFrame(items, "item_id long, passage string")
+    args = d, F.col("doc_id"), F.col("t"), i
+    got = {(r.row_id, r.item_id) for r in leaks.leaks(*args, edits=True).where("share >= 0.5").collect()}
+    hashes = leaks.WordHash()
+    of = {k: hashes.of(leaks.words(p)) for k, p in items}
+    want = {(r, k) for r, t in docs for k in [r % 100] if leaks.align(of[k], hashes.of(leaks.words(t))) >= 40}
+    print("edited copies", len(want), "found", len(got & want), "by exact seeds", leaks.leaks(*args).where("share >= 0.5").count())
+    assert len(want) >= 110 and got == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_alignment(a, b):
