@@ -149,5 +149,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by the held-out sample's split and book."""
     coded = coded_samples(spark, sf_dir).select(F.col("sample_no").alias("held_record"), splits.key_of(F.get("codes", F.lit(0))).alias("book")).dropDuplicates(["held_record"])
-    kind = F.when(F.col("distance") == 0, "same").otherwise("near")
-    return crossing(spark, sf_dir).join(coded, "held_record", "left").groupBy("held_split", "book", kind.alias("kind")).agg(F.count("*").alias("n_pairs"), F.countDistinct("held_record").alias("n_held"))
+    counts = overlap.overlap_counts(read(spark, sf_dir, "samples"), F.col("sample_no"), F.col("text_lines"), splits.split_name(F.col("split_name")))
+    return counts.join(coded, "held_record", "left").groupBy("held_split", "book", "kind").agg(F.sum("n_pairs").alias("n_pairs"), F.countDistinct("held_record").alias("n_held"))
