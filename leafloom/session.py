@@ -38,15 +38,22 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"leafloom-{os.getuid()}")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back.
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder beside what materialize() writes; release() deletes it as well, be its writes finished or not."""
+    path = f"{scratch_root(spark)}/leafloom/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes df once to the shared folder, in a subfolder for each value of the column by, and reads it back.
 
     This cuts the lineage and, unlike a local checkpoint, survives the loss of an executor.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/leafloom/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
+    path = scratch_folder(spark, label)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
