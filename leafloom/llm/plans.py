@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import canon, leaks, overlap, packing, repeated, residue, scanned, splits, sql
-from leafloom.session import read
+from leafloom.llm.joins import with_one
+from leafloom.session import materialize, read, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"p1_found": sql.P1, "p2_found": sql.P2, "p3_found": sql.P3, "p8_found": sql.P8}
+ORACLES: dict[str, str] = {"p1_found": sql.P1, "p2_found": sql.P2, "p3_found": sql.P3, "p3_status": sql.P3_STATUS, "p8_found": sql.P8}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -70,12 +71,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.mixed(coded, splits.components(coded))
 
 
+def given_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_samples(spark, sf_dir).withColumnRenamed("sample_no", "record_id").distinct()
+
+
+@query
+def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every sample its set, whether that keeps its given split, is new or holds several, and the split kept."""
+    rows = given_samples(spark, sf_dir)
+    each, state = splits.states(rows, splits.components(rows), splits.given(rows))
+    kept = state.select("entity", splits.status().alias("status"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("kept_split"))
+    return with_one(each, kept, "entity", "inner").select(F.col("record_id").alias("sample_no"), F.col("entity").alias("set_key"), "status", "kept_split").distinct()
+
+
 @query
 def p3_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sample with its set and the split it shall be in."""
-    coded = coded_samples(spark, sf_dir).dropDuplicates(["sample_no"])
-    table = splits.components(coded)
-    return splits.assign(coded.select(F.col("sample_no").alias("record_id"), "codes"), table, read(spark, sf_dir, "split_plan"))
+    """Every sample with its set and the split it shall be in: given splits are kept, new sets fill the deficits."""
+    rows = given_samples(spark, sf_dir)
+    return splits.assign(rows, splits.components(rows), read(spark, sf_dir, "split_plan"), splits.given(rows))
+
+
+@query
+def p3_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with the tables saved between them: every sample's split after the first and after the second, which keeps all that was decided."""
+    rows, plan, folder = given_samples(spark, sf_dir), read(spark, sf_dir, "split_plan"), scratch_folder(spark, "split-tables")
+    table = splits.components(rows)
+    first = materialize(splits.assign(rows, table, plan, splits.given(rows)), "split-first")
+    splits.save(folder, table, splits.persistable(first, table, splits.given(rows)))
+    table, persisted = splits.load(spark, folder)
+    second = splits.assign(rows, splits.components(rows, table), plan, persisted)
+    before = first.select("record_id", F.col("split").alias("first_split")).distinct()
+    return second.join(before, "record_id").select("record_id", "entity", "first_split", "split", "status").distinct()
 
 
 @query

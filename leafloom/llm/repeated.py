@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafloom.llm.joins import small_set
 from leafloom.session import materialize
 
 MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE = 12, 5, 0.10
-BROADCAST_ROWS = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -94,11 +94,6 @@ def summaries(each: DataFrame, share: float = MIN_SHARE, least: int = 64) -> Dat
     return each.select("source", F.xxhash64("doc").alias("doc_hash"), "hash").mapInPandas(emit, "source string, hash bigint, n bigint, error bigint")
 
 
-def small_set(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast where its counted rows are within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def confirmed(each: DataFrame, sizes: DataFrame, share: float = MIN_SHARE, least: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(occurrences of candidates, confirmed lines). sizes: source, n_docs of every source."""
     merged = materialize(summaries(each, share), "line-summaries")

@@ -40,5 +40,10 @@ c as (select distinct sample_no, split, unnest(codes) as code from s), e as (sel
 r(u, v) as (select u, v from e union select r.u, e.v from r join e on r.v = e.u), root as (select u as code, min(v) as root from r group by u),
 x as (select distinct c.sample_no, c.split, root.root from c join root on root.code = c.code), mixed as (select root from x where split is not null group by root having count(distinct split) > 1)
 select distinct sample_no, 'bk' || lpad(cast(root as varchar), 7, '0') as set_key from x where root in (select root from mixed)"""
+P3_STATUS = r"""with recursive s as (select distinct sample_no, list_sort(list_distinct(list_transform(regexp_extract_all(lower(coalesce(sample_id,'')) || ' ' || lower(coalesce(image_path,'')), '(?:^|[^a-z0-9])bk[^a-z0-9/\\]{0,2}0*([0-9]+)', 1), lambda x: cast(x as bigint)))) as codes, nullif(lower(trim(split_name)), '') as split from samples),
+c as (select distinct codes[1] as u, unnest(codes) as v from s), e as (select u, v from c union select v, u from c), r(u, v) as (select u, v from e union select r.u, e.v from r join e on r.v = e.u), root as (select u as code, min(v) as root from r group by u),
+x as (select s.*, len(codes) = 0 as bare, case when len(codes) = 0 then 'record:' || coalesce(cast(sample_no as varchar), '') else 'bk' || lpad(cast(root.root as varchar), 7, '0') end as entity from s left join root on root.code = s.codes[1]),
+held as (select entity, split from x where split is not null union select x.entity, g.split from x join x g on g.bare and g.split is not null and g.sample_no is not distinct from x.sample_no), state as (select entity, min(split) as lo, max(split) as hi from held group by entity)
+select distinct sample_no, x.entity as set_key, case when lo is null then 'new' when lo = hi then 'kept' else 'quarantined' end as status, case when lo = hi then lo end as kept_split from x left join state on state.entity = x.entity"""
 P8 = f"""with w as (select doc_id as id, regexp_extract_all(lower({canonical('text')}), '[\\p{{L}}\\p{{N}}]+') as w from documents where text is not null), i as (select item_id as id, regexp_extract_all(lower({canonical('passage')}), '[\\p{{L}}\\p{{N}}]+') as w from test_items where passage is not null),
 dg as (select distinct id, array_to_string(w[cast(k as int):cast(k + 12 as int)], ' ') as g from w, unnest(generate_series(1, len(w) - 12)) u(k)), ig as (select distinct id, array_to_string(w[cast(k as int):cast(k + 12 as int)], ' ') as g from i, unnest(generate_series(1, len(w) - 12)) u(k)) select distinct dg.id as doc_id, ig.id as item_id from dg join ig on dg.g = ig.g"""

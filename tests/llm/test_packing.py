@@ -44,7 +44,7 @@ def check(rows, sizes, budgets):
     return waste
 
 
-@pytest.mark.parametrize("part_items", [20_000, 300])
+@pytest.mark.parametrize("part_items", [20_000, 500])
 def test_little_space_is_left(spark, part_items):
     rng = np.random.default_rng(4)
     sizes = {i: int(n) for i, n in enumerate(np.minimum(rng.lognormal(4.5, 1.2, 3000), 5000))} | {9000: 0, 9001: 100_000}
@@ -56,15 +56,43 @@ def test_little_space_is_left(spark, part_items):
     assert packing.pack(df.where("false"), b).count() == 0 and packing.pack(df, b.where("false")).count() == 0
 
 
+def test_items_over_half_the_capacity(spark, monkeypatch):
+    """Nothing fits together, so the rounds end soon, and no task holds more than a part."""
+    turns, seen = [], []
+    plain = packing._round
+
+    def watched(items, prefix):
+        turns.append(prefix)
+        seen.append(items.groupBy("budget_id", "part").count().agg(F.max("count")).first()[0])
+        return plain(items, prefix)
+
+    monkeypatch.setattr(packing, "_round", watched)
+    df = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(6).cast("bigint").alias("tokens"))
+    out = packing.pack(df, spark.createDataFrame([(1, 10)], "budget_id long, capacity_tokens long"), 10_000)
+    assert out.select("container_id").distinct().count() == out.count() == 100_000
+    assert len(turns) <= 3 and max(seen) <= 10_000
+
+
+def test_rounds_fall_off(spark, monkeypatch):
+    turns = []
+    plain = packing._round
+    monkeypatch.setattr(packing, "_round", lambda items, prefix: turns.append(prefix) or plain(items, prefix))
+    rng = np.random.default_rng(1)
+    sizes = {i: int(n) for i, n in enumerate(rng.integers(1, 400, 6000))}
+    df = spark.createDataFrame(list(sizes.items()), "item_id long, tokens long")
+    waste = check(packing.pack(df, spark.createDataFrame([(1, 1000)], "budget_id long, capacity_tokens long"), 1000).collect(), sizes, [(1, 1000)])
+    assert waste[1] < 0.03 and len(turns) <= 4
+
+
 def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, "A word, another word.", "c"), (2, None, "c"), (3, "", "c"), (3, "A word, another word. " * 50_000, "c")], "id long, t string, tokens string")
     got = sorted((r.item_id, r.tokens) for r in packing.token_counts(df, F.col("id"), F.col("t")).collect())
-    enc = packing.encoding(packing.TOKENIZER)
+    enc = packing.encoding(f"{packing.TOKENIZERS}/{packing.TOKENIZER}", packing.pattern())
     assert got == [(1, len(enc.encode_ordinary("A word, another word."))), (2, 0), (3, 0), (3, len(enc.encode_ordinary("A word, another word. " * 50_000)))]
 
 
 def test_query(spark):
-    enc = packing.encoding(packing.TOKENIZER)
+    enc = packing.encoding(f"{packing.TOKENIZERS}/{packing.TOKENIZER}", packing.pattern())
     sizes = {r.doc_id: len(enc.encode_ordinary(r.text or "")) for r in read(spark, SF, "documents").collect()}
     budgets = [(r.budget_id, r.capacity_tokens) for r in read(spark, SF, "token_budgets").collect()]
     rows = [r.asDict() for r in plans.p7_packed(spark, SF).collect()]
