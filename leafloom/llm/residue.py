@@ -1,8 +1,8 @@
 """Template residue, filler and error-page text (problem 9).
 
-One automaton holds the phrases of all languages; one expression holds the shapes of unfilled placeholders. A text's
-sentences that carry a phrase outside quotes, windows of words with hardly any variety or of filler words, and lines of empty
-fields count as residue. A document is excluded when it has a placeholder where content belongs, or when residue
+One automaton holds the phrases of all languages, listed or made by rules; one expression holds the shapes of unfilled
+placeholders, whose names are open. A text's sentences that carry a phrase outside quotes (a phrase speaks for up to
+SPEAKS_FOR times its letters), windows of words with hardly any variety or of filler words, and empty fields count as residue. A document is excluded when it has a placeholder where content belongs, or when residue
 covers at least min_share of its letters, site lines (those repeated within the source) left aside.
 
 Defined results
@@ -25,40 +25,64 @@ from leafloom.llm.canon import canonical
 
 MIN_SHARE = 0.2
 
-# Phrases of error pages, access notices, script demands and filler, lower case.
+# Reasons of failed requests by status code.
+STATUS = {400: "bad request", 401: "unauthorized", 403: "forbidden", 404: "not found", 405: "method not allowed", 408: "request timeout", 410: "gone", 429: "too many requests", 500: "internal server error", 502: "bad gateway", 503: "service unavailable", 504: "gateway timeout"}
+# What a page asks for, and what of: verbs, things, and verbs that follow the thing, by language.
+DEMANDS = (
+    ("enable | turn on | switch on | activate | allow | accept | requires | needs | need | please enable", "javascript | scripts | scripting | cookies", "is disabled | is required | is turned off | are disabled | are required | switched on | enabled to"),
+    ("povolte | zapněte | aktivujte | vyžaduje | potřebuje", "javascript | skripty | cookies | soubory cookie", "je vypnutý | je vypnut | je zakázán | jsou vypnuty | jsou zakázány"),
+    ("aktivieren sie | erlauben sie | akzeptieren sie | benötigt | erfordert | braucht", "javascript | skripte | cookies", "aktivieren | akzeptieren | zulassen | ist deaktiviert | sind deaktiviert"),
+    ("activez | autorisez | acceptez | nécessite", "javascript | les scripts | les cookies", "est désactivé | sont désactivés"),
+    ("active | habilite | acepte | requiere", "javascript | las cookies", "está desactivado | están desactivadas"),
+)
+# How an error is named before its code.
+ERRORS = "error | http | http error | status | chyba | fehler | erreur | errore"
+# Phrases of error pages, access notices and filler, lower case.
 PHRASES = """
-404 not found | 403 forbidden | 500 internal server error | 502 bad gateway | 503 service unavailable | 504 gateway timeout | bad gateway | gateway timeout
-page not found | the requested | page does not exist | could not be found | we could not find | you were looking for | nothing was found here | no longer available
-internal error | internal server error | traceback id | please retry later | please try again later | an error occurred | something went wrong | error id | service unavailable | temporarily unavailable
+bad gateway | gateway timeout | internal server error | internal error | service unavailable | temporarily unavailable | an error occurred | something went wrong | error id | traceback id | too many requests | rate limit exceeded
+page not found | the requested | page does not exist | could not be found | we could not find | you were looking for | nothing was found here | no longer available | please retry later | please try again later | wait a moment and | try the start page | return to the home page | go back to the homepage
 session expired | your session has | sign in again | please sign in | please log in | log in to continue | sign in to continue | access denied | permission denied | you do not have permission | access forbidden
-too many requests | rate limit exceeded | wait a moment and | try the start page | return to the home page | go back to the homepage | scan-proxy/
-enable javascript | javascript is disabled | javascript is required | turn on javascript | requires javascript | javascript switched on | needs scripts | turn on scripting | enable scripts | scripting in your browser
-enable cookies | accept cookies | cookies are disabled | need cookies | allow cookies | checking your browser | verify you are human | complete the captcha | unusual traffic
+scripting in your browser | checking your browser | verify you are human | complete the captcha | unusual traffic
 lorem ipsum | dolor sit amet | consectetur adipiscing | blah blah | sample text | text goes here | placeholder text | dummy text | content goes here | coming soon | under construction | to be added | test test test
-stránka nenalezena | stránka nebyla nalezena | chyba 404 | chyba 403 | chyba 500 | vraťte se na | interní chyba | přístup odepřen | přístup zamítnut | přihlaste se | relace vypršela | příliš mnoho požadavků | služba není dostupná | zkuste to později
-povolte javascript | zapněte javascript | povolte ve svém prohlížeči | vyžaduje javascript | povolte cookies | povolte soubory cookie | zapněte skripty
-zde bude text | zde bude obsah | zde bude obrázek | sem vložte | ukázkový text | obsah se připravuje | stránka se připravuje | doplnit text | text bude doplněn
-seite nicht gefunden | seite wurde nicht gefunden | nicht gefunden | fehler 404 | interner fehler | interner serverfehler | zugriff verweigert | zugriff nicht erlaubt | bitte melden sie sich an | sitzung abgelaufen | zu viele anfragen | nicht verfügbar | versuchen sie es später
-aktivieren sie javascript | javascript aktivieren | javascript ist deaktiviert | bitte aktivieren sie | cookies aktivieren | cookies akzeptieren | benötigt javascript | erlauben sie cookies
+stránka nenalezena | stránka nebyla nalezena | vraťte se na | interní chyba | přístup odepřen | přístup zamítnut | přihlaste se | relace vypršela | příliš mnoho požadavků | služba není dostupná | zkuste to později | povolte ve svém prohlížeči
+zde bude | sem vložte | ukázkový text | obsah se připravuje | stránka se připravuje | doplnit text | text bude doplněn
+seite nicht gefunden | seite wurde nicht gefunden | nicht gefunden | interner fehler | interner serverfehler | zugriff verweigert | zugriff nicht erlaubt | bitte melden sie sich an | sitzung abgelaufen | zu viele anfragen | nicht verfügbar | versuchen sie es später | bitte aktivieren sie
 hier steht später | hier steht bald | blindtext | platzhaltertext | beispieltext | inhalt folgt | text folgt | hier entsteht
+page introuvable | accès refusé | session expirée | veuillez vous connecter | contenu à venir | página no encontrada | acceso denegado | sesión caducada | inicie sesión | próximamente | texto de ejemplo
 """
 
+
+def _cells(text: str) -> list[str]:
+    return [p.strip() for line in text.splitlines() for p in line.split("|") if p.strip()]
+
+
+def phrases() -> set[str]:
+    """The phrases, and those that the rules above make."""
+    out = set(_cells(PHRASES))
+    out |= {f"{code} {reason}" for code, reason in STATUS.items()} | {f"{name} {code}" for name in _cells(ERRORS) for code in STATUS}
+    for before, things, after in DEMANDS:
+        for thing in _cells(things):
+            out |= {f"{verb} {thing}" for verb in _cells(before)} | {f"{thing} {verb}" for verb in _cells(after)}
+    return out
+
+
 _NAME = r"[A-Za-z][\w.\-]*"
 # The shapes of placeholders.
 PLACEHOLDER = re.compile(
-    rf"""\{{\{{\{{?\s*{_NAME}(?:\ {_NAME})*\s*\}}?\}}\}} | \{{%-?\s*\w[^%\n]{{0,80}}%\}} | <%[=-]?[^%\n]{{1,80}}%> | [$\#]\{{\s*{_NAME}\s*\}}
+    rf"""\{{\{{\{{?\s*{_NAME}(?:\ {_NAME})*\s*\}}?\}}\}} | \{{%-?\s*\w[^%\n]*%\}} | <%[=-]?[^%\n]+%> | [$\#]\{{\s*{_NAME}\s*\}}
     | \[\[\s*{_NAME}(?:\ {_NAME})*\s*\]\] | <<\s*{_NAME}(?:\ {_NAME})*\s*>> | @@{_NAME}@@ | (?<!\w)__[A-Za-z][A-Za-z0-9_]*?__(?!\w)
     | (?<![\w%])%{{1,2}}[A-Za-z][\w.\-]+%{{1,2}}(?![\w%]) | %\([A-Za-z]\w*\)[sdfr] | \{{[A-Za-z][\w.\-]*\w\}} | <{_NAME}(?:\ {_NAME})*\ here>
-    | \[(?i:insert|your|enter|add|vložte|doplňte|sem|einfügen|hier)\b[^\]\n]{{0,80}}\] | \[[A-Za-z]{{3,}}(?:[._\-]?[A-Za-z]+)*\](?!\()""",
+    | \[(?i:insert|your|enter|add|vložte|doplňte|sem|einfügen|hier)\b[^\]\n]*\] | \[[A-Za-z]{{3,}}(?:[._\-]?[A-Za-z]+)*\](?!\()""",
     re.X,
 )
 NO_PLACEHOLDER = {"[sic]", "[note]", "[notes]", "[edit]", "[citation]", "[ref]", "[eds]", "[abstract]", "[online]"}
-EMPTY_FIELD = re.compile(r"^\s*[^\W\d_][\w ]{0,30}:\s*(?:TBD|TBA|TODO|FIXME|XXX+|N/A|\?\?\?+|\.\.\.)(?:\b.{0,60})?$|^\s*(?:TBD|TODO|FIXME)\b.{0,60}$")
+EMPTY_FIELD = re.compile(r"\s*[^\W\d_][\w ]*:\s*(?:(?:TBD|TBA|TODO|FIXME|XXX+|N/A)\b|\?\?\?+|\.\.\.$)|\s*(?:TBD|TODO|FIXME)\b")
+FIELD_MARKS = ("TBD", "TBA", "TODO", "FIXME", "XX", "N/A", "??", "...")
 UNSET = re.compile(r"\b(?:undefined|NaN|null|None)\b|\[object Object\]")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?](?!\s|$)[^.!?\n]*)*[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = "\"'`„“”‚‘’«»"
-LONGEST_SENTENCE = 240
+SPEAKS_FOR = 10
 WINDOW, VARIETY, FEWEST = 40, 0.45, 8
 SHORT, MOST_VARIETY = 20, 0.6
 
@@ -76,32 +100,49 @@ sit sed do ut et ad ex ea in eu non qui id est ac at nec vel per pro quisquam ne
 
 
 class Phrases:
-    def __init__(self, text: str = PHRASES):
+    def __init__(self, listed: set[str] | None = None):
         self.automaton = ahocorasick.Automaton()
-        for phrase in {p.strip() for line in text.splitlines() for p in line.split("|")} - {""}:
+        for phrase in phrases() if listed is None else listed:
             self.automaton.add_word(phrase, len(phrase))
         self.automaton.make_automaton()
 
     def spans(self, lower: str) -> list[tuple[int, int]]:
-        found = []
+        """Where phrases stand outside quotes, in order, those that overlap as one."""
+        found: list[tuple[int, int]] = []
         for last, size in self.automaton.iter(lower):
             a, b = last + 1 - size, last + 1
             before, after = lower[a - 1 : a], lower[b : b + 1]
             if (before and before in QUOTES) or (after and after in QUOTES) or (before.isalnum() and lower[a].isalnum()) or (after.isalnum() and lower[b - 1].isalnum()):
                 continue
+            while found and a <= found[-1][1]:
+                a = min(a, found.pop()[0])
             found.append((a, b))
         return found
 
 
+def fold(text: str) -> str:
+    """Lower case, place by place: what has more than one character in lower case stays."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 _phrases: list[Phrases] = []
 
 
+def command_before(text: str, at: int) -> bool:
+    """Whether a command of a formula, a backslash and letters, ends at a place."""
+    k = at
+    while k and text[k - 1].isascii() and text[k - 1].isalpha():
+        k -= 1
+    return 0 < k < at and text[k - 1] == "\\"
+
+
 def placeholder(text: str) -> bool:
     for m in PLACEHOLDER.finditer(text):
         before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         if (before and before in QUOTES + "\\}^_") or (after and after in QUOTES + "{") or m.group().lower() in NO_PLACEHOLDER:
             continue
-        if m.group()[0] == "{" and re.search(r"\\[A-Za-z]+$", text[max(0, m.start() - 30) : m.start()]):
+        if m.group()[0] == "{" and command_before(text, m.start()):
             continue
         return True
     return False
@@ -145,14 +186,14 @@ def judge(text: str) -> tuple[bool, list[int], list[int]] | None:
         return None
     if not _phrases:
         _phrases.append(Phrases())
-    lower = text.lower()
-    spans = _phrases[0].spans(lower) if len(lower) == len(text) else _phrases[0].spans(text)
+    lower = fold(text)
+    spans = _phrases[0].spans(lower)
     open_field = any(c in text for c in "{[<@%_#") and placeholder(text)
     lines = text.split("\n")
     residue = [0] * len(lines)
     letters: list[int] | None = None
     unset = any(w in text for w in ("undefined", "NaN", "null", "None", "[object")) and len(UNSET.findall(text)) > 1
-    fields = [i for i, x in enumerate(lines) if EMPTY_FIELD.match(x)] if ("TBD" in text or "TODO" in text or "N/A" in text or "XX" in text or "FIXME" in text or "TBA" in text or "??" in text) else []
+    fields = [(i, m.end()) for i, x in enumerate(lines) if (m := EMPTY_FIELD.match(x))] if any(mark in text for mark in FIELD_MARKS) else []
     words = lower.split()
     thin = [k for k in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2) if filler(words[k : k + WINDOW])]
     marked = latin(words)
@@ -169,13 +210,19 @@ def judge(text: str) -> tuple[bool, list[int], list[int]] | None:
                 a, b = starts[i] + m.start(), starts[i] + m.end()
                 while k < len(spans) and spans[k][1] <= a:
                     k += 1
-                inside = [s for s in spans[k : k + 50] if s[0] >= a and s[1] <= b]
-                if (inside and b - a <= LONGEST_SENTENCE) or len(UNSET.findall(m.group())) > 1:
-                    residue[i] += sum(map(len, WORD.findall(m.group())))
-                elif inside:
-                    residue[i] += sum(e - s for s, e in inside)
-    for i in fields:
-        residue[i] = letters[i]
+                inside = []
+                for j in range(k, len(spans)):
+                    if spans[j][0] >= b:
+                        break
+                    inside.append((max(a, spans[j][0]), min(b, spans[j][1])))
+                own = sum(map(len, WORD.findall(m.group())))
+                if len(UNSET.findall(m.group())) > 1:
+                    residue[i] += own
+                elif inside:  # a phrase speaks for its sentence, if that is not far longer
+                    residue[i] += min(own, SPEAKS_FOR * sum(sum(map(len, WORD.findall(lower[x:y]))) for x, y in inside))
+    for i, end in fields:  # with what it asks for
+        own = sum(map(len, WORD.findall(lines[i][:end])))
+        residue[i] = max(residue[i], min(SPEAKS_FOR * own, own + sum(map(len, WORD.findall(re.split(r"[.!?]", lines[i][end:], maxsplit=1)[0])))))
     if thin or marked:
         for k in thin:
             marked.update(range(k, min(len(words), k + WINDOW)))

@@ -9,6 +9,7 @@ CASES = [
     "Title: TBD\nSummary: TODO write about the lens\nText: TODO", "Hello undefined, page NaN of lens was last read on null by undefined.", "text text text text text text text text text text text text", "lorem quila amet corda lorem amet quila quila corda corda lorem amet corda quila",
     BODY + "Compare the {{plate-no}} lens.", "Let @@unit@@ be the coil.", "Dear %(reader_name)s,", "<%= page.plate %>\n" + BODY, "[INSERT LENS DESCRIPTION HERE]", "The [section] coil", "__CAPTION__", "Answer: <<answer>>", "A ${plate.no} lens", "the %unit-no% lens", "<unit here> lens",
     "Zugriff verweigert. Bitte melden Sie sich an, um den Band zu lesen. Fehler 7", "Ｐｌｅａｓｅ enable Java​Script to read",
+    f"[insert {'the long name of the plate ' * 6}here] beside the lens.", "İ Please ENABLE JavaScript to continue", "{% if " + "a or " * 60 + "b %}\n" + BODY, "Activez JavaScript pour lire la page.", "Fehler 503",
 ]
 OTHERS = [
     BODY, "", "  \n ", None, "Elastic lens", BODY + 'Typesetters fill a page with "lorem ipsum" to judge it.', BODY + "The rule writes `{running_header}` and `{printed_page}` at render time.", BODY + r"Here \frac{{x}}{{y_T}} stands beside [[REF:a-eq-0642]], an anchor.",
@@ -24,6 +25,23 @@ def test_cases(spark):
     assert residue.found(df.where("false"), F.col("doc_id"), F.col("t")).count() == 0
 
 
+def test_many_phrases_in_one_sentence():
+    text = ", ".join(["please log in"] * 200) + "."
+    _, letters, marked = residue.judge(text)
+    assert letters == marked
+
+
+def test_a_phrase_in_a_far_longer_sentence():
+    _, [n], [marked] = residue.judge(BODY.replace(".", ",") * 10 + " it came to an internal error, and so on.")
+    assert 0 < marked < 0.1 * n
+    assert residue.fold("İstanbul ẞ") == "İstanbul ß" and residue.command_before("\\" + "a" * 500, 501) and not residue.command_before("frac", 4)
+
+
+def test_rules_make_phrases():
+    made = residue.phrases()
+    assert {"404 not found", "turn on javascript", "cookies sind deaktiviert", "chyba 500", "povolte skripty"} <= made and all(p == p.lower() for p in made)
+
+
 def test_site_lines_are_left_aside(spark):
     text = "\n".join([*BODY.strip().split(". ")[:3], "No scan of this folio may be passed on without the desk of readers", "Session expired. Sign in."])
     df = spark.createDataFrame([(1, text)], "doc_id long, t string")
