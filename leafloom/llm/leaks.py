@@ -1,13 +1,15 @@
 """Evaluation texts leaking into training text (problem 8).
 
-1. Every document is scanned once for the items' word n-grams; documents with any hit are written with their words.
+1. Every document is scanned once for the items' word n-grams, against a Bloom filter of bounded size; documents with
+   any hit are written with their words, and their hits are joined to the items' n-grams.
 2. The hits are counted over all documents; in each run of min_words words of a passage the rarest n-grams become
    seeds. A run of that length holds a seed by construction, so no exact leak is lost by leaving common n-grams out.
 3. Documents are joined to items by their seeds; Smith-Waterman alignment over words, around the seeds,
-   scores paraphrased and edited copies, and the longest common run of words is measured exactly.
+   scores paraphrased and edited copies. What is aligned well enough is checked for its longest common run of words.
 4. For the report, edited copies are also looked for by all 3-grams, two of them about one diagonal, in a scan of their own.
 
-The items are a stated query set: they are taken in blocks of at most BLOCK passages, so what goes to the tasks is bounded.
+Equal passages count as one until the end. The items are a stated query set: for step 4 they are taken in blocks of
+BLOCK_WORDS words, so that what goes to the tasks is bounded.
 
 Words are runs of letters and digits of the canonical text in lower case.
 
@@ -30,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.llm.canon import canonical
+from leafloom.llm.joins import with_one
 from leafloom.session import materialize
 
-MIN_WORDS, GRAM, BLOCK = 13, 8, 5_000
+MIN_WORDS, GRAM, BLOCK_WORDS = 13, 8, 4_000_000
+BITS_A_GRAM, PROBES, MOST_BITS = 64, 4, 27
 EDITED_GRAM, BAND, EDITED_SHARE = 3, 8, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+")
@@ -71,31 +75,58 @@ def grams(hashes: np.ndarray, n: int = GRAM) -> np.ndarray:
     return out.view(np.int64)
 
 
-def scan(df: DataFrame, row: Column, text: Column, wanted: np.ndarray, n: int = GRAM) -> DataFrame:
-    """(row_id, words, starts, grams) of the rows with any wanted n-gram."""
-    wanted = np.unique(wanted)
-    bits = 22
-    mask = np.int64((1 << bits) - 1)
-    table = np.zeros(1 << bits, bool)
-    table[wanted & mask] = True
-    packed = np.packbits(table)
+def probe(every: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k-th place of some n-grams in a Bloom filter of 2 ** bits bits."""
+    h = every.view(np.uint64)
+    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64((1 << bits) - 1)
+
+
+def gram_rows(passages: DataFrame, n: int = GRAM) -> DataFrame:
+    """(pid, place, gram) of passages(pid, hashes)."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pid, hashes in zip(batch["pid"], batch["hashes"]):
+                own = grams(np.asarray(hashes, np.int64).view(np.uint64), n)
+                yield pd.DataFrame({"pid": pid, "place": np.arange(len(own)), "gram": own})
+
+    return passages.select("pid", "hashes").mapInPandas(emit, "pid string, place bigint, gram bigint")
+
+
+def bloom(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter of rows(gram) as 64-bit words, and its bits. What comes to the driver is bounded by its size."""
+    n = rows.count()
+    bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(1, BITS_A_GRAM * n))))))
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = np.concatenate([probe(batch["gram"].to_numpy(np.int64), bits, k) for k in range(PROBES)])
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    words_ = np.zeros(1 << (bits - 6), np.uint64)
+    set_ = rows.select("gram").mapInPandas(emit, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    words_[set_["word"].to_numpy(np.int64)] = set_["bit"].to_numpy(np.int64).view(np.uint64)
+    return words_, bits
+
+
+def scan(df: DataFrame, row: Column, text: Column, wanted: tuple[np.ndarray, int], n: int = GRAM) -> DataFrame:
+    """(row_id, words, starts, grams) of the rows with any n-gram that the filter lets pass."""
+    table, bits = wanted
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = np.unpackbits(packed).astype(bool)
         memo = WordHash()
         for batch in batches:
             rows = []
             lists = [words(t) for t in batch["t"]]
             sizes = [len(x) for x in lists]
             every = grams(np.fromiter((memo[w] for x in lists for w in x), np.uint64, sum(sizes)), n)
-            if not len(every):
-                continue
-            at = np.flatnonzero(near[every & mask])
-            place = np.searchsorted(wanted, every[at])
-            at = at[wanted[np.minimum(place, len(wanted) - 1)] == every[at]]
+            at = np.arange(len(every))
+            for k in range(PROBES):
+                place = probe(every[at], bits, k)
+                at = at[(table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
             ends = np.cumsum(sizes)
             doc = np.searchsorted(ends, at, side="right")
-            inside = at + n <= ends[doc]  # a run of words across two rows is none
+            inside = at + n <= ends[np.minimum(doc, len(ends) - 1)]  # a run of words across two rows is none
             at, doc = at[inside], doc[inside]
             for d in np.unique(doc):
                 own = at[doc == d]
@@ -107,15 +138,21 @@ def scan(df: DataFrame, row: Column, text: Column, wanted: np.ndarray, n: int =
     return source.mapInPandas(emit, "row_id bigint, words array<string>, starts array<bigint>, grams array<bigint>")
 
 
-def seeds(passages: dict[int, np.ndarray], counts: dict[int, int], min_words: int = MIN_WORDS, n: int = GRAM) -> dict[int, list[int]]:
-    """n-gram to the items it is a seed of: the rarest in each run of min_words words, ties by hash."""
-    out: dict[int, set[int]] = defaultdict(set)
-    for item, hashes in passages.items():
-        own = grams(hashes, n).tolist()
-        width = min_words - n + 1
-        for k in range(len(own) - width + 1):
-            out[min(own[k : k + width], key=lambda g: (counts.get(g, 0), g))].add(item)
-    return {g: sorted(v) for g, v in out.items()}
+def choose(own: list[int], counts: dict[int, int], min_words: int = MIN_WORDS, n: int = GRAM) -> set[int]:
+    """Of a passage's n-grams the rarest in each run of min_words words, ties by hash."""
+    width = min_words - n + 1
+    return {min(own[k : k + width], key=lambda g: (counts[g], g)) for k in range(len(own) - width + 1)}
+
+
+def seeds(counted: DataFrame, min_words: int = MIN_WORDS, n: int = GRAM) -> DataFrame:
+    """(pid, gram): the seeds of counted(pid, place, gram, n), one passage a group."""
+
+    def of_passage(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place")
+        chosen = choose(group["gram"].tolist(), dict(zip(group["gram"].tolist(), group["n"].tolist())), min_words, n)
+        return pd.DataFrame({"pid": group["pid"].iat[0], "gram": sorted(chosen)})
+
+    return counted.groupBy("pid").applyInPandas(of_passage, "pid string, gram bigint")
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -156,46 +193,41 @@ def _windows(starts: list[int], reach: int, end: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def compare(hits: DataFrame, passages: dict[int, np.ndarray], seed_of: dict[int, list[int]]) -> DataFrame:
-    """(row_id, item_id, run, score, share): share is the score against that of the whole passage."""
+def compare(tried: DataFrame, min_score: int = MATCH * MIN_WORDS) -> DataFrame:
+    """(row_id, pid, run, score, share) of tried(row_id, pid, starts, words, hashes) aligned with at least min_score; share is the score against that of the whole passage."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
         for batch in batches:
             rows = []
-            for row, ws, starts, found in zip(batch["row_id"], batch["words"], batch["starts"], batch["grams"]):
-                by_item: dict[int, list[int]] = defaultdict(list)
-                for s, g in zip(starts, found):
-                    for item in seed_of.get(int(g), ()):
-                        by_item[item].append(int(s))
-                if not by_item:
-                    continue
-                hashes = memo.of(list(ws))
-                for item, at in by_item.items():
-                    passage = passages[item]
-                    run = score = 0
-                    for a, b in _windows(at, 2 * len(passage), len(hashes)):
-                        run = max(run, longest_run(passage, hashes[a:b]))
-                        score = max(score, align(passage, hashes[a:b]))
-                    rows.append((row, item, run, score, score / (MATCH * len(passage))))
+            for row, pid, starts, ws, hashes in zip(batch["row_id"], batch["pid"], batch["starts"], batch["words"], batch["hashes"]):
+                passage, text = np.asarray(hashes, np.int64).view(np.uint64), memo.of(list(ws))
+                run = score = 0
+                for a, b in _windows([int(s) for s in starts], 2 * len(passage), len(text)):
+                    own = align(passage, text[a:b])
+                    score = max(score, own)
+                    if own >= min_score:
+                        run = max(run, longest_run(passage, text[a:b]))
+                if score >= min_score:
+                    rows.append((row, pid, run, score, score / (MATCH * len(passage))))
             if rows:
-                yield pd.DataFrame(rows, columns=["row_id", "item_id", "run", "score", "share"])
+                yield pd.DataFrame(rows, columns=["row_id", "pid", "run", "score", "share"])
 
-    return hits.select("row_id", "words", "starts", "grams").mapInPandas(emit, "row_id bigint, item_id bigint, run bigint, score bigint, share double")
+    return tried.select("row_id", "pid", "starts", "words", "hashes").mapInPandas(emit, "row_id bigint, pid string, run bigint, score bigint, share double")
 
 
-def edited(df: DataFrame, row: Column, text: Column, passages: dict[int, np.ndarray], least: float = EDITED_SHARE, n: int = EDITED_GRAM) -> DataFrame:
-    """(row_id, item_id, run, score, share) of the pairs of at least that share that have two n-grams about one diagonal, however short the intact runs are."""
-    names = np.array(sorted(passages), np.int64)
-    each = [grams(passages[i], n) for i in names.tolist()]
+def edited(df: DataFrame, row: Column, text: Column, passages: dict[str, np.ndarray], least: float = EDITED_SHARE, n: int = EDITED_GRAM) -> DataFrame:
+    """(row_id, pid, run, score, share) of the pairs of at least that share that have two n-grams about one diagonal, however short the intact runs are."""
+    names = sorted(passages)
+    each = [grams(passages[i], n) for i in names]
     every = np.concatenate(each) if each else np.empty(0, np.int64)
     order = np.argsort(every, kind="stable")
     wanted = every[order]
     owner = np.repeat(np.arange(len(names)), [len(g) for g in each])[order]
     place = np.concatenate([np.arange(len(g)) for g in each])[order] if each else np.empty(0, np.int64)
-    sets = [np.unique(passages[i]) for i in names.tolist()]
+    sets = [np.unique(passages[i]) for i in names]
 
-    def pairs(hashes: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    def pairs(hashes: np.ndarray) -> Iterator[tuple[str, int, int, float]]:
         own = grams(hashes, n)
         lo, hi = np.searchsorted(wanted, own, "left"), np.searchsorted(wanted, own, "right")
         at = np.flatnonzero(hi > lo)
@@ -213,7 +245,7 @@ def edited(df: DataFrame, row: Column, text: Column, passages: dict[int, np.ndar
         good[:-1] |= close
         item, start = item[good], start[good]
         for i in np.unique(item).tolist():
-            passage = passages[int(names[i])]
+            passage = passages[names[i]]
             size_p, best = len(passage), (0, 0)
             for a, b in _windows(start[item == i].tolist(), 2 * size_p, len(hashes)):
                 window = hashes[a:b]
@@ -226,35 +258,48 @@ def edited(df: DataFrame, row: Column, text: Column, passages: dict[int, np.ndar
                 if score >= least * MATCH * size_p:
                     best = max(best, (score, longest_run(passage, window)))
             if best[0]:
-                yield int(names[i]), best[1], best[0], best[0] / (MATCH * size_p)
+                yield names[i], best[1], best[0], best[0] / (MATCH * size_p)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
         for batch in batches:
             rows = [(i, *found) for i, t in zip(batch["row_id"], batch["t"]) for found in pairs(memo.of(words(t)))]
             if rows:
-                yield pd.DataFrame(rows, columns=["row_id", "item_id", "run", "score", "share"])
+                yield pd.DataFrame(rows, columns=["row_id", "pid", "run", "score", "share"])
 
     source = df.select(row.cast("bigint").alias("row_id"), text.alias("t")).where("row_id is not null and t is not null")
-    return source.mapInPandas(emit, "row_id bigint, item_id bigint, run bigint, score bigint, share double")
+    return source.mapInPandas(emit, "row_id bigint, pid string, run bigint, score bigint, share double")
+
 
+def known_passages(items: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(pid, hashes) of the different passages of at least min_words words, and (pid, item_id) of the items that have them."""
 
-def leaks(df: DataFrame, row: Column, text: Column, items: DataFrame, min_words: int = MIN_WORDS, n: int = GRAM, block: int = BLOCK, edits: bool = False) -> DataFrame:
-    """All (row, item) that share a seed, with their scores. items: item_id, passage. edits: also edited copies without a seed."""
-    spark = df.sparkSession
-    n_blocks = max(1, -(-items.count() // block))
-    out = None
-    for k in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
-        passages = {r.item_id: memo.of(words(r.passage)) for r in part.select("item_id", "passage").where("item_id is not null and passage is not null").distinct().toLocalIterator()}
-        passages = {i: h for i, h in passages.items() if len(h) >= min_words}
-        wanted = np.concatenate([grams(h, n) for h in passages.values()]) if passages else np.zeros(1, np.int64)
-        hits = materialize(scan(df, row, text, wanted, n), "leak-hits")
-        counted = hits.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-        counts = {r.g: r.n for r in counted.toLocalIterator()}  # at most as many as the block's n-grams
-        found = compare(hits, passages, seeds(passages, counts, min_words, n))
-        if edits:
-            found = found.unionByName(edited(df, row, text, passages))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("row_id", "item_id").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))
+        for batch in batches:
+            rows = [(i, memo.of(ws).view(np.int64).tolist()) for i, p in zip(batch["item_id"], batch["passage"]) if len(ws := words(p)) >= min_words]
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "hashes"])
+
+    source = items.select(F.col("item_id").cast("bigint").alias("item_id"), "passage").where("item_id is not null and passage is not null").distinct()
+    each = materialize(source.mapInPandas(emit, "item_id bigint, hashes array<bigint>").withColumn("pid", F.md5(F.array_join(F.col("hashes").cast("array<string>"), " "))), "leak-passages")
+    return each.groupBy("pid").agg(F.first("hashes").alias("hashes")), each.select("pid", "item_id").distinct()
+
+
+def leaks(df: DataFrame, row: Column, text: Column, items: DataFrame, min_words: int = MIN_WORDS, n: int = GRAM, block_words: int = BLOCK_WORDS, edits: bool = False) -> DataFrame:
+    """(row_id, item_id, run, score, share) of all that share a seed and are aligned. items: item_id, passage. edits: also edited copies without a seed."""
+    passages, members = known_passages(items, min_words)
+    rows = materialize(gram_rows(passages, n), "leak-grams")
+    hits = materialize(scan(df, row, text, bloom(rows), n).withColumn("hit", F.monotonically_increasing_id()), "leak-hits")
+    each = hits.select("hit", F.explode(F.arrays_zip("starts", "grams")).alias("x")).select("hit", F.col("x.starts").alias("start"), F.col("x.grams").alias("gram"))
+    counts = each.select("hit", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    chosen = materialize(seeds(with_one(rows, counts, "gram").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))), min_words, n), "leak-seeds")
+    tried = with_one(each, chosen, "gram", "inner").groupBy("hit", "pid").agg(F.collect_list("start").alias("starts"))
+    found = compare(tried.join(hits.select("hit", "row_id", "words"), "hit").join(passages, "pid"), MATCH * min_words)
+    if edits:
+        n_blocks = max(1, -(-(passages.agg(F.sum(F.size("hashes"))).first()[0] or 0) // block_words))
+        for k in range(n_blocks):
+            block = passages.where(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)) == k)
+            found = found.unionByName(edited(df, row, text, {r.pid: np.asarray(r.hashes, np.int64).view(np.uint64) for r in block.toLocalIterator()}))
+    best = found.groupBy("row_id", "pid").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))
+    return best.join(members, "pid").groupBy("row_id", "item_id").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("share").alias("share"))

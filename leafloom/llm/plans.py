@@ -12,7 +12,7 @@ from leafloom.llm.joins import with_one
 from leafloom.session import materialize, read, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"p1_found": sql.P1, "p2_found": sql.P2, "p3_found": sql.P3, "p3_status": sql.P3_STATUS, "p8_found": sql.P8}
+ORACLES: dict[str, str] = {"p1_found": sql.P1, "p2_found": sql.P2, "p3_found": sql.P3, "p3_status": sql.P3_STATUS, "p4_found": sql.P4, "p8_found": sql.P8}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -123,6 +123,7 @@ def leaked(spark: SparkSession, sf_dir: str, edits: bool = False) -> DataFrame:
 
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned documents and items; of these the ones with so many consecutive words."""
     return leaked(spark, sf_dir).where(F.col("run") >= leaks.MIN_WORDS).select(F.col("row_id").alias("doc_id"), "item_id")
 
 

@@ -47,3 +47,7 @@ held as (select entity, split from x where split is not null union select x.enti
 select distinct sample_no, x.entity as set_key, case when lo is null then 'new' when lo = hi then 'kept' else 'quarantined' end as status, case when lo = hi then lo end as kept_split from x left join state on state.entity = x.entity"""
 P8 = f"""with w as (select doc_id as id, regexp_extract_all(lower({canonical('text')}), '[\\p{{L}}\\p{{N}}]+') as w from documents where text is not null), i as (select item_id as id, regexp_extract_all(lower({canonical('passage')}), '[\\p{{L}}\\p{{N}}]+') as w from test_items where passage is not null),
 dg as (select distinct id, array_to_string(w[cast(k as int):cast(k + 12 as int)], ' ') as g from w, unnest(generate_series(1, len(w) - 12)) u(k)), ig as (select distinct id, array_to_string(w[cast(k as int):cast(k + 12 as int)], ' ') as g from i, unnest(generate_series(1, len(w) - 12)) u(k)) select distinct dg.id as doc_id, ig.id as item_id from dg join ig on dg.g = ig.g"""
+P4 = r"""with s as (select distinct sample_no, lower(trim(split_name)) as split, regexp_replace(lower(strip_accents(array_to_string(text_lines, ' '))), '[^\p{L}\p{N}]', '', 'g') as t from samples where sample_no is not null and text_lines is not null),
+k as (select t, length(t) as n, bool_or(split = 'train') as a, bool_or(split <> 'train') as b from s where length(t) >= 40 and split in ('train', 'eval', 'test') group by t),
+near as (select a.t as ta, b.t as tb from k a join k b on a.a and b.b and abs(a.n - b.n) <= 0.15 * greatest(a.n, b.n) where levenshtein(a.t, b.t) <= 0.15 * greatest(a.n, b.n))
+select distinct least(x.sample_no, y.sample_no) as sample_a, greatest(x.sample_no, y.sample_no) as sample_b from near join s x on x.t = ta and x.split = 'train' join s y on y.t = tb and y.split in ('eval', 'test') where x.sample_no <> y.sample_no"""

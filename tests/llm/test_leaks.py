@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ def test_small_cases(spark):
     items = [(10, p), (11, p), (12, "too short a passage"), (13, None), (14, "")]
     d = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id long, t string, words string")
     i = spark.createDataFrame(items, "item_id long, passage string")
-    for block in (5000, 2):
-        found = leaks.leaks(d, F.col("doc_id"), F.col("t"), i, block=block)
+    for edits, block_words in ((False, 1), (True, 4_000_000), (True, 20)):
+        found = leaks.leaks(d, F.col("doc_id"), F.col("t"), i, edits=edits, block_words=block_words)
         assert {(r.row_id, r.item_id) for r in found.where("run >= 13").collect()} == brute(docs, items)
         assert found.count() == found.select("row_id", "item_id").distinct().count()
     assert leaks.leaks(d.where("false"), F.col("doc_id"), F.col("t"), i).count() == 0
@@ -64,6 +65,33 @@ def test_edited_copies(spark):
     assert len(want) >= 110 and got == want
 
 
+@pytest.mark.parametrize("share,recall", [(0.1, 1.0), (0.2, 0.97), (0.3, 0.5)])
+def test_recall_of_substituted_words(spark, share, recall):
+    """At 30 % the alignment itself falls to about half of a whole passage's score, so only those over it count."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghiklmnoprstuvz", k=6))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(60)]
+    docs = []
+    for k, p in items:
+        ws = p.split()
+        for at in rng.sample(range(40), int(share * 40)):
+            ws[at] = word()
+        docs.append((k, f"{' '.join(word() for _ in range(50))} {' '.join(ws)} {word()}"))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, t string"), F.col("doc_id"), F.col("t"), spark.createDataFrame(items, "item_id long, passage string"), edits=True)
+    got = {(r.row_id, r.item_id) for r in found.where("share >= 0.5").collect()}
+    print("substituted", share, len(got), "of", len(items))
+    assert all(a == b for a, b in got) and len(got) >= recall * len(items)
+
+
+def test_filter_lets_no_gram_slip(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("gram"))
+    table, bits = leaks.bloom(rows)
+    own = np.array([r.gram for r in rows.collect()], np.int64)
+    other = np.array([r.g for r in spark.range(3000, 60_000).select(F.xxhash64("id").alias("g")).collect()], np.int64)
+    held = lambda x: np.logical_and.reduce([(table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1 for p in (leaks.probe(x, bits, k) for k in range(leaks.PROBES))])
+    assert held(own).all() and held(other).mean() < 0.001
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_alignment(a, b):
