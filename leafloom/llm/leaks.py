@@ -24,19 +24,18 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafloom.llm import bloom
 from leafloom.llm.canon import canonical
 from leafloom.llm.joins import with_one
 from leafloom.session import materialize
 
 MIN_WORDS, GRAM, BLOCK_WORDS = 13, 8, 4_000_000
-BITS_A_GRAM, PROBES, MOST_BITS = 64, 4, 27
 EDITED_GRAM, BAND, EDITED_SHARE = 3, 8, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+")
@@ -51,8 +50,7 @@ class WordHash(dict):
     """64-bit hashes of words, the same in every process; a memo that starts anew when it has grown."""
 
     def __missing__(self, word: str) -> int:
-        data = word.encode("utf-8", "surrogatepass")
-        value = (crc32(data) << 32 | crc32(data[::-1], len(data))) & 0xFFFFFFFFFFFFFFFF
+        value = bloom.word_hash(word)
         if len(self) > 500_000:
             self.clear()
         self[word] = value
@@ -75,12 +73,6 @@ def grams(hashes: np.ndarray, n: int = GRAM) -> np.ndarray:
     return out.view(np.int64)
 
 
-def probe(every: np.ndarray, bits: int, k: int) -> np.ndarray:
-    """The k-th place of some n-grams in a Bloom filter of 2 ** bits bits."""
-    h = every.view(np.uint64)
-    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64((1 << bits) - 1)
-
-
 def gram_rows(passages: DataFrame, n: int = GRAM) -> DataFrame:
     """(pid, place, gram) of passages(pid, hashes)."""
 
@@ -93,25 +85,8 @@ def gram_rows(passages: DataFrame, n: int = GRAM) -> DataFrame:
     return passages.select("pid", "hashes").mapInPandas(emit, "pid string, place bigint, gram bigint")
 
 
-def bloom(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter of rows(gram) as 64-bit words, and its bits. What comes to the driver is bounded by its size."""
-    n = rows.count()
-    bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(1, BITS_A_GRAM * n))))))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = np.concatenate([probe(batch["gram"].to_numpy(np.int64), bits, k) for k in range(PROBES)])
-            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
-
-    words_ = np.zeros(1 << (bits - 6), np.uint64)
-    set_ = rows.select("gram").mapInPandas(emit, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
-    words_[set_["word"].to_numpy(np.int64)] = set_["bit"].to_numpy(np.int64).view(np.uint64)
-    return words_, bits
-
-
-def scan(df: DataFrame, row: Column, text: Column, wanted: tuple[np.ndarray, int], n: int = GRAM) -> DataFrame:
+def scan(df: DataFrame, row: Column, text: Column, wanted: bloom.Bloom, n: int = GRAM) -> DataFrame:
     """(row_id, words, starts, grams) of the rows with any n-gram that the filter lets pass."""
-    table, bits = wanted
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
@@ -120,10 +95,7 @@ def scan(df: DataFrame, row: Column, text: Column, wanted: tuple[np.ndarray, int
             lists = [words(t) for t in batch["t"]]
             sizes = [len(x) for x in lists]
             every = grams(np.fromiter((memo[w] for x in lists for w in x), np.uint64, sum(sizes)), n)
-            at = np.arange(len(every))
-            for k in range(PROBES):
-                place = probe(every[at], bits, k)
-                at = at[(table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            at = wanted.passing(every)
             ends = np.cumsum(sizes)
             doc = np.searchsorted(ends, at, side="right")
             inside = at + n <= ends[np.minimum(doc, len(ends) - 1)]  # a run of words across two rows is none
@@ -290,7 +262,7 @@ def leaks(df: DataFrame, row: Column, text: Column, items: DataFrame, min_words:
     """(row_id, item_id, run, score, share) of all that share a seed and are aligned. items: item_id, passage. edits: also edited copies without a seed."""
     passages, members = known_passages(items, min_words)
     rows = materialize(gram_rows(passages, n), "leak-grams")
-    hits = materialize(scan(df, row, text, bloom(rows), n).withColumn("hit", F.monotonically_increasing_id()), "leak-hits")
+    hits = materialize(scan(df, row, text, bloom.build(rows, "gram"), n).withColumn("hit", F.monotonically_increasing_id()), "leak-hits")
     each = hits.select("hit", F.explode(F.arrays_zip("starts", "grams")).alias("x")).select("hit", F.col("x.starts").alias("start"), F.col("x.grams").alias("gram"))
     counts = each.select("hit", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n"))
     chosen = materialize(seeds(with_one(rows, counts, "gram").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))), min_words, n), "leak-seeds")

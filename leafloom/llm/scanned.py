@@ -3,12 +3,17 @@
 1. Words are counted over all texts, and over the different texts; halves of words broken at line ends are left out.
 2. Rare words are linked to words at least RATIO times as frequent, by either count, that plausible glyph edits lead
    to; so a text copied under many ids cannot make its misreadings look like words.
-3. One scan marks furniture (running heads, page numbers) and broken words, lists the words that are not known to be
-   good with their context, and learns skip-gram count vectors of the link targets: how often which words, hashed
-   to BUCKETS, stand within WINDOW words of a target.
-4. Each doubtful word is corrected in context: of its links the one whose vector explains its neighbours best.
-5. Texts are repaired: furniture out, words joined, words and numbers corrected; lines flow into paragraphs whether or
-   not there are other marks.
+3. One scan marks furniture (running heads, page numbers) and broken words, lists the words that have links or glyphs
+   that no word holds, with their context, and counts which words, hashed to BUCKETS, stand within WINDOW words of each link target.
+4. Skip-gram vectors with negative samples are learnt from these counts, which are all that its loss depends on: given
+   the vectors of the contexts each word's own is a small problem of its own, so that any number of words is learnt in
+   parallel; the gradients of the few context vectors add up over all words.
+5. Each doubtful word is corrected in context: of its links the one whose vector explains its neighbours best, if that
+   explains them better than leaving the word as it is.
+6. Texts are repaired: furniture out, words joined, words corrected at their line, and numbers; lines flow into paragraphs
+   whether or not there are other marks, all in canonical form.
+
+Which words are doubtful, and which are link targets, tasks ask a Bloom filter of bounded size; joins then settle it.
 
 Defined results
 * null and empty texts have no defects and stay as they are; an empty table gives an empty table.
@@ -29,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.llm import bloom
+from leafloom.llm.bloom import Bloom
 from leafloom.llm.canon import canonical
 from leafloom.session import materialize
 
@@ -36,13 +43,13 @@ from leafloom.session import materialize
 GLYPHS = {"c": "e", "@": "a", "1": "l", "j": "i", "ri": "n", "0": "o", "f": "t", "5": "s", "cl": "d", "ii": "u", "rn": "m", "b": "h", "9": "g", "ć": "č", "ď": "d'", "ť": "t'", "vv": "w", "6": "b", "8": "b", "|": "l", "$": "s", "€": "e"}
 EXTRA = {"f": ("t", "ř"), "b": ("h", "ß"), "c": ("e", "o"), "1": ("l", "i")}
 LOST_ACCENTS = {"a": "ä", "e": "ě", "ü": "ů"}
-SURE = "@0159"
 RATIO, LEAST = 6.0, 3
-KNOWN = 200_000
 WINDOW, BUCKETS = 2, 64
+DIM, NEGATIVES, ROUNDS, STEPS, SEED = 16, 5, 3, 25, 7
+LEAVE = -1.0
 MIXED, MIXED_TRUE = "@0159", "aolsg"
 PAGE_WIDTH = 110
-FLUSH = 300_000
+FLUSH, FLUSH_TARGETS = 300_000, 20_000
 
 TOKEN = re.compile(r"[\w@]+(?:-[\w@]+)*")
 MARKS = "-¬­‐‑"
@@ -122,18 +129,54 @@ def breaks(lines: list[str], out: set[int]) -> list[tuple[int, int, str, str, st
     return found
 
 
+class Member(dict):
+    """Whether a filter lets words pass; a memo that starts anew when it has grown."""
+
+    def __init__(self, held: Bloom):
+        self.held = held
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = word in self.held
+        return value
+
+
 class Chunks(dict):
-    """What stands between spaces, to (its words in lower case, whether a number in it is misread); a memo that starts anew when it has grown."""
+    """What stands between spaces, to (its words in lower case, which are in doubt, whether a number in it is misread); a memo that starts anew when it has grown."""
+
+    def __init__(self, doubt: Member):
+        self.doubt = doubt
 
-    def __missing__(self, chunk: str) -> tuple[list[str], bool]:
+    def __missing__(self, chunk: str) -> tuple[list[str], list[bool], bool]:
         plain = canonical(chunk)
-        value = TOKEN.findall(plain.lower()), NUMBER.search(plain) is not None
+        own = TOKEN.findall(plain.lower())
+        value = own, [not w.isdigit() and self.doubt[w] for w in own], NUMBER.search(plain) is not None
         if len(self) > 500_000:
             self.clear()
         self[chunk] = value
         return value
 
 
+class Targets(dict):
+    """The rows of link targets in a table of counts, -1 for other words."""
+
+    def __init__(self, held: Bloom):
+        self.held, self.words = held, []
+
+    def __missing__(self, word: str) -> int:
+        if not word or word not in self.held:
+            self[word] = -1
+            return -1
+        self.words.append(word)
+        self[word] = len(self.words) - 1
+        return len(self.words) - 1
+
+    def start_anew(self) -> None:
+        self.clear()
+        self.words = []
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(word, n, n_apart) over all texts(t): how often in all rows, and how often when equal texts count once. Chunks are counted first, so that each different one is read once a task."""
 
@@ -228,14 +271,17 @@ class _Buckets(dict):
 SCAN = "field_name string, row_id bigint, line_no bigint, kind string, word string, other string, line_2 bigint, cut bigint, context array<int>, vector binary"
 
 
-def scan(texts: DataFrame, known: frozenset[str], targets: frozenset[str]) -> DataFrame:
+def scan(texts: DataFrame, doubtful: Bloom, targets: Bloom) -> DataFrame:
     """One pass over texts(field_name, row_id, t, title). kinds: page_line, break, number, doubt, vector."""
     names = [x.split()[0] for x in SCAN.split(", ")]
-    index = {w: i for i, w in enumerate(sorted(targets))}
+
+    def counted(index: Targets, vectors: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([(None, None, None, "vector", w, None, None, None, None, v.astype("<i4").tobytes()) for w, v in zip(index.words, vectors) if v.any()], columns=names)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors = np.zeros((len(index) + 1, BUCKETS), np.int64)
-        memo, chunks = _Buckets(), Chunks()
+        doubt, index, memo = Member(doubtful), Targets(targets), _Buckets()
+        chunks = Chunks(doubt)
+        vectors = np.zeros((1024, BUCKETS), np.int64)
         for batch in batches:
             rows: list[tuple] = []
             flow: list[str] = []
@@ -246,9 +292,9 @@ def scan(texts: DataFrame, known: frozenset[str], targets: frozenset[str]) -> Da
                 found = breaks(lines, out) if len(lines) > 1 and LINE_MARK(t) else []
                 if not out and not found:  # nothing to tell apart by line unless a word is doubtful
                     parts = [chunks[c] for c in t.split()]
-                    words = [w for ws, _ in parts for w in ws]
-                    if all(map(str.isdigit, set(words) - known)) and not any(bad for _, bad in parts):
-                        flow += words
+                    if not any(bad or True in doubts for _, doubts, bad in parts):
+                        for ws, _, _ in parts:
+                            flow += ws
                         flow += ["", ""]
                         continue
                 joined: dict[int, tuple] = {}
@@ -261,15 +307,16 @@ def scan(texts: DataFrame, known: frozenset[str], targets: frozenset[str]) -> Da
                     if i in out or not x:
                         continue
                     parts = [chunks[c] for c in x.split()]
-                    low = [w for ws, _ in parts for w in ws]
+                    low = [w for ws, _, _ in parts for w in ws]
+                    doubts = [d for _, ds, _ in parts for d in ds]
                     if not low:
                         continue
                     at = 0
                     if carry and carry[1] == i:
                         whole = (carry[2] + low[0]).lower()
                         flow.append(whole)
-                        if whole not in known and f"{carry[2]}-{low[0]}".lower() not in known:
-                            rows.append((field, row, carry[0], "doubt", whole, None, i, len(carry[2]), [memo[w] for w in (flow[-3:-1] + low[1:3])], None))
+                        if doubt[whole] or any(c in whole for c in MIXED):
+                            rows.append((field, row, carry[0], "doubt", whole, f"{carry[2]}-{low[0]}".lower(), i, len(carry[2]), [memo[w] for w in (flow[-3:-1] + low[1:3])], None))
                         at, carry = 1, None
                     end = len(low)
                     if i in joined:
@@ -277,56 +324,118 @@ def scan(texts: DataFrame, known: frozenset[str], targets: frozenset[str]) -> Da
                         carry = (i, joined[i][0], low[-1] if end >= at else "")
                         if end < at:
                             carry = None
-                    for k in range(at, end):
-                        if low[k] not in known and not low[k].isdigit():
-                            rows.append((field, row, i, "doubt", low[k], None, None, None, [memo[w] for w in ((flow[-2:] if k == at else low[max(0, k - 2) : k]) + low[k + 1 : k + 3])], None))
+                    if True in doubts:
+                        for k in range(at, end):
+                            if doubts[k]:
+                                rows.append((field, row, i, "doubt", low[k], None, None, None, [memo[w] for w in ((flow[-2:] if k == at else low[max(0, k - 2) : k]) + low[k + 1 : k + 3])], None))
                     flow += low[at:end]
-                    if any(bad for _, bad in parts):
+                    if any(bad for _, _, bad in parts):
                         rows.append((field, row, i, "number", None, None, None, None, None, None))
                 flow += ["", ""]
-            if index and flow:
-                place = np.fromiter((index.get(w, -1) for w in flow), np.int64, len(flow))
+            if flow:
+                place = np.fromiter((index[w] for w in flow), np.int64, len(flow))
                 hashed = np.fromiter((memo[w] if w else -1 for w in flow), np.int64, len(flow))
+                if len(index.words) > len(vectors):
+                    vectors = np.concatenate([vectors, np.zeros((len(index.words), BUCKETS), np.int64)])
                 for step in range(1, WINDOW + 1):
                     for a, b in ((place[step:], hashed[:-step]), (place[:-step], hashed[step:])):
                         good = (a >= 0) & (b >= 0)
                         vectors += np.bincount(a[good] * BUCKETS + b[good], minlength=vectors.size).reshape(vectors.shape)
             if rows:
                 yield pd.DataFrame(rows, columns=names)
-        seen = np.flatnonzero(vectors.sum(axis=1))
-        words = sorted(index)
-        for part in np.array_split(seen, max(1, len(seen) // 5000)):
-            yield pd.DataFrame([(None, None, None, "vector", words[i], None, None, None, None, vectors[i].astype("<i4").tobytes()) for i in part], columns=names)
+            if len(index.words) > FLUSH_TARGETS or len(index) > 500_000:
+                yield counted(index, vectors)
+                index.start_anew()
+                vectors = np.zeros((1024, BUCKETS), np.int64)
+        yield counted(index, vectors)
 
     return texts.where("t is not null and row_id is not null").select("field_name", "row_id", "t", "title").mapInPandas(emit, SCAN)
 
 
 def _sum_vectors(vectors: DataFrame) -> DataFrame:
-    """(target, vector): the tasks' vectors added up."""
+    """(target, counts): the tasks' counts added up; equal words come one after the other."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] = {}
+        word, total = None, np.zeros(BUCKETS, np.int64)
         for batch in batches:
+            done = []
             for w, v in zip(batch["word"], batch["vector"]):
-                x = np.frombuffer(v, "<i4").astype(np.int64)
-                held[w] = held[w] + x if w in held else x
-        if held:
-            yield pd.DataFrame({"target": list(held), "vector": [v.tolist() for v in held.values()]})
+                if w != word:
+                    done += [] if word is None else [(word, total.tolist())]
+                    word, total = w, np.zeros(BUCKETS, np.int64)
+                total = total + np.frombuffer(v, "<i4")
+            if done:
+                yield pd.DataFrame(done, columns=["target", "counts"])
+        if word is not None:
+            yield pd.DataFrame({"target": [word], "counts": [total.tolist()]})
 
-    return vectors.select("word", "vector").repartition("word").mapInPandas(add, "target string, vector array<bigint>")
+    return vectors.select("word", "vector").repartition("word").sortWithinPartitions("word").mapInPandas(add, "target string, counts array<bigint>")
 
 
-def _fit(vector: pd.Series, context: pd.Series) -> pd.Series:
-    """How much better than chance a target's vector explains some neighbours (mean log ratio, smoothed)."""
-    out = []
-    for v, c in zip(vector, context):
-        if v is None or c is None or len(c) == 0:
-            out.append(0.0)
-            continue
-        v = np.asarray(v, float)
-        p = (v + 0.5) / (v.sum() + 0.5 * BUCKETS)
-        out.append(float(np.log(p[np.asarray(c, int)] * BUCKETS).mean()))
-    return pd.Series(out)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def word_vectors(counts: np.ndarray, contexts: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The vectors that fit words' context counts best, the contexts' vectors given: the loss of skip-grams with NEGATIVES samples from the noise for each pair, by gradient."""
+    n = counts.sum(axis=1, keepdims=True)
+    share = counts / np.maximum(n, 1)
+    w = np.zeros((len(counts), DIM), np.float32)
+    rate = 4 / ((1 + NEGATIVES) * float((contexts**2).sum(axis=1).max()))
+    for _ in range(STEPS):
+        s = _sigmoid(w @ contexts.T)
+        w += rate * ((share * (1 - s) - NEGATIVES * noise * s) @ contexts - w / np.maximum(n, 1))
+    return w
+
+
+def skip_grams(counted: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """The vectors of the contexts and (target, vector), learnt from (target, counts). The driver sees BUCKETS rows a round."""
+    fields = ", ".join(f"x{k} double" for k in range(DIM))
+
+    def matrix(batch: pd.DataFrame) -> np.ndarray:
+        return np.array(batch["counts"].tolist(), np.float32).reshape(len(batch), BUCKETS)
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"bucket": np.arange(BUCKETS), "n": matrix(batch).sum(axis=0).astype(float)})
+
+    total = np.ones(BUCKETS)
+    for r in counted.mapInPandas(totals, "bucket int, n double").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        total[r.bucket] += r.n
+    noise = (total**0.75 / (total**0.75).sum()).astype(np.float32)
+    contexts = np.random.default_rng(SEED).normal(scale=0.5, size=(BUCKETS, DIM)).astype(np.float32)
+    for _ in range(ROUNDS):
+
+        def gradients(batches: Iterator[pd.DataFrame], contexts: np.ndarray = contexts) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                counts = matrix(batch)
+                w = word_vectors(counts, contexts, noise)
+                n = counts.sum(axis=1, keepdims=True)
+                s = _sigmoid(w @ contexts.T)
+                out = (counts * (1 - s) - NEGATIVES * n * noise * s).T @ w
+                frame = pd.DataFrame(out.astype(float), columns=[f"x{k}" for k in range(DIM)])
+                yield frame.assign(bucket=np.arange(BUCKETS), n=(counts + NEGATIVES * n * noise).sum(axis=0).astype(float))
+
+        summed = counted.mapInPandas(gradients, f"{fields}, bucket int, n double").groupBy("bucket").agg(*[F.sum(f"x{k}").alias(f"x{k}") for k in range(DIM)], F.sum("n").alias("n")).collect()
+        contexts = contexts.copy()
+        for r in summed:
+            contexts[r.bucket] += np.array([r[f"x{k}"] for k in range(DIM)], np.float32) / max(r.n, 1.0)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"target": batch["target"], "vector": word_vectors(matrix(batch), contexts, noise).tolist()})
+
+    return contexts, counted.mapInPandas(learn, "target string, vector array<float>")
+
+
+def fit(contexts: np.ndarray):
+    """How much better than chance a target's vector explains some neighbours: the mean of what the vectors have for log ratios."""
+
+    def of(vector: pd.Series, context: pd.Series) -> pd.Series:
+        shift = float(np.log(NEGATIVES))
+        return pd.Series([0.0 if v is None or c is None or len(c) == 0 else float((contexts[np.asarray(c, int)] @ np.asarray(v, np.float32)).mean()) + shift for v, c in zip(vector, context)])
+
+    return F.pandas_udf(of, "double")
 
 
 def _change(word: Column, target: Column) -> tuple[Column, Column]:
@@ -354,25 +463,29 @@ class Findings:
 
     def __init__(self, texts: DataFrame, corpus: DataFrame | None = None):
         """texts: field_name, row_id, t, title. corpus: t of further texts that only count."""
-        spark = texts.sparkSession
         own = texts.select("t")
         vocab = materialize(vocabulary(own if corpus is None else own.unionByName(corpus.select("t"))), "vocabulary")
         linked = materialize(links(vocab), "word-links")
-        good = vocab.where("n > 1").join(linked.select("word").distinct(), "word", "left_anti")
-        known = frozenset(r.word for r in good.orderBy(F.desc("n"), "word").limit(KNOWN).collect())  # a filter of bounded size: other words are looked up by a join
-        targets = frozenset(r.target for r in linked.groupBy("target").agg(F.sum("n_word").alias("n")).orderBy(F.desc("n"), "target").limit(KNOWN // 4).collect())
-        self.marks = materialize(scan(texts, known, targets), "scan-marks")
-        self.vocab, self.linked = vocab, linked
-        vectors = _sum_vectors(self.marks.where("kind = 'vector'"))
-        doubts = self.marks.where("kind = 'doubt'").select("field_name", "row_id", "line_no", "word", "line_2", "cut", "context").distinct()
-        tried = doubts.join(linked, "word").join(vectors, "target", "left")
-        score = F.pandas_udf(_fit, "double")(F.col("vector"), F.col("context")) + 0.25 * F.log("n_target")
-        best = Window.partitionBy("field_name", "row_id", "line_no", "word", "line_2", "context").orderBy(F.desc("score"), F.desc("n_target"), "target")
-        self.corrections = materialize(tried.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("field_name", "row_id", "line_no", "word", "target", "line_2", "cut", "score"), "corrections")
-        unlinked = doubts.join(linked.select("word").distinct(), "word", "left_anti")
+        rare = linked.select("word").distinct()
         # no word holds these glyphs among its letters, whatever it may have been
         mixed = F.col("word").rlike(r"^[\p{L}@0159-]+$") & F.col("word").rlike("[@0159]") & (F.length(F.regexp_replace("word", r"[@0159]", "")) >= 3) & (F.length(F.regexp_replace("word", r"[^@0159]", "")) <= 3) & ~F.col("word").rlike(r"^[@0159]+\p{L}|\p{L}[01-9]+$|^\p{L}+@\p{L}+-|[0159]{2}")
-        self.mixed = unlinked.where(mixed)
+        doubtful = bloom.build(rare.unionByName(vocab.where("n = 1").where(mixed).select("word")).distinct(), "word", words=True)
+        targets = bloom.build(linked.select("target").distinct(), "target", words=True)
+        self.marks = materialize(scan(texts, doubtful, targets), "scan-marks")
+        self.vocab, self.linked = vocab, linked
+        good = vocab.where("n > 1").join(rare, "word", "left_anti").select("word")
+        wanted = linked.select(F.col("target").alias("word")).distinct()
+        counted = materialize(_sum_vectors(self.marks.where("kind = 'vector'").join(wanted, "word", "left_semi")), "context-counts")
+        contexts, vectors = skip_grams(counted)
+        doubts = self.marks.where("kind = 'doubt'").select("field_name", "row_id", "line_no", "word", "other", "line_2", "cut", "context").distinct()
+        # a broken word that is good with its mark is none in doubt
+        doubts = doubts.where("other is null").unionByName(doubts.where("other is not null").join(good.withColumnRenamed("word", "other"), "other", "left_anti")).drop("other")
+        tried = doubts.join(linked, "word").join(vectors, "target", "left").withColumn("fit", F.round(fit(contexts)(F.col("vector"), F.col("context")), 4))
+        best = Window.partitionBy("field_name", "row_id", "line_no", "word", "line_2", "context").orderBy(F.desc("score"), F.desc("n_target"), "target")
+        scored = tried.withColumn("score", F.col("fit") + 0.25 * F.log("n_target")).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+        better = (F.col("fit") + 0.25 * F.log(F.col("n_target") / F.col("n_word")) > LEAVE) | F.col("word").rlike(r"\p{L}[@0159$|€]|[@0159$|€]\p{L}")
+        self.corrections = materialize(scored.where(better).select("field_name", "row_id", "line_no", "word", "target", "line_2", "cut", "score", "fit"), "corrections")
+        self.mixed = doubts.where(mixed).join(rare, "word", "left_anti").join(good, "word", "left_anti")
 
     def broken(self) -> DataFrame:
         """(field_name, row_id, line_no, line_2, word): the breaks whose mark does not belong to the word."""
@@ -401,9 +514,9 @@ class Findings:
     def repaired(self, texts: DataFrame) -> DataFrame:
         """texts with t in continuous paragraphs."""
         key = ["field_name", "row_id"]
-        glyphs = self.mixed.select(*key, "line_no", "line_2", "word", F.translate("word", MIXED, MIXED_TRUE).alias("target"))
-        words = self.corrections.select(*key, "line_no", "line_2", "word", "target").unionByName(glyphs)
-        fixes = words.groupBy(*key).agg(F.collect_set(F.struct("line_no", "line_2", "word", "target")).alias("fixes"))
+        glyphs = self.mixed.select(*key, "line_no", "line_2", "word", F.translate("word", MIXED, MIXED_TRUE).alias("target"), F.lit(0.0).alias("score"))
+        words = self.corrections.select(*key, "line_no", "line_2", "word", "target", "score").unionByName(glyphs)
+        fixes = words.groupBy(*key).agg(F.collect_set(F.struct("score", "target", "line_no", "line_2", "word")).alias("fixes"))
         joins = self.broken().groupBy(*key).agg(F.collect_set("line_no").alias("joins"))
         gone = self.marks.where("kind = 'page_line'").groupBy(*key).agg(F.collect_set("line_no").alias("gone"))
         numbers = self.marks.where("kind = 'number'").groupBy(*key).agg(F.lit(True).alias("numbers"))
@@ -428,17 +541,28 @@ def _flows(line: str, follow: str, width: int) -> bool:
     return width <= PAGE_WIDTH and len(line) + 1 + len(follow.split(" ")[0]) > width
 
 
+LAST_WORD = re.compile(r"[\w@]+(?:-[\w@]+)*$")
+
+
 def _mend(text: str, fixes, joins, gone, numbers: bool = False, page: bool = True) -> str:
     """page: the text is one piece of a page, so all its lines flow; in a document a line may also be a paragraph."""
     lines = text.split("\n")
     clean = fixes is None and joins is None and gone is None and not numbers
     if clean and len(lines) == 1:
-        return text
+        return canonical(text)
     drop = set() if gone is None else {int(i) for i in gone}
     joined = set() if joins is None else {int(i) for i in joins}
-    better = {f["word"]: f["target"] for f in (fixes if fixes is not None else [])}
+    inside: dict[int, dict[str, str]] = {}  # what words of a line shall be, and words broken at its end
+    across: dict[int, dict[str, str]] = {}
+    for f in sorted(fixes if fixes is not None else [], key=lambda f: (f["score"], f["target"])):
+        (inside if f["line_2"] is None else across).setdefault(int(f["line_no"]), {})[f["word"]] = f["target"]
+
+    def corrected(i: int, x: str) -> str:
+        own = inside.get(i)
+        return TOKEN.sub(lambda m: _as_written(m.group(), own[m.group().lower()]) if m.group().lower() in own else m.group(), x) if own else x
+
     width = max((len(x.rstrip()) for i, x in enumerate(lines) if i not in drop), default=0)
-    paragraphs, now, last, pending, flowed = [], "", "", False, False
+    paragraphs, now, last, pending, flowed = [], "", "", None, False
     parted = dropped = False  # since the last line that was kept: a blank line, furniture
     for i, x in enumerate(lines):
         if i in drop:
@@ -446,11 +570,11 @@ def _mend(text: str, fixes, joins, gone, numbers: bool = False, page: bool = Tru
             continue
         kept = i not in joined and bool(BREAK.search(x))  # the mark belongs to the word
         raw = x.strip()
-        x = canonical(x.rstrip()[:-1] if i in joined else x.rstrip())
-        if not x.strip():
+        x = canonical(x.rstrip()[:-1] if i in joined else x.rstrip()).strip()
+        if not x:
             parted = True
             continue
-        if now and not pending:
+        if now and pending is None:
             ends = now.rstrip()[-1:] in ".!?:"
             if page:
                 new = parted and ends
@@ -462,11 +586,19 @@ def _mend(text: str, fixes, joins, gone, numbers: bool = False, page: bool = Tru
                 paragraphs.append(now)
                 now = ""
         flowed = flowed or bool(now)
-        now = now + x.lstrip() if pending else f"{now} {x.strip()}" if now else x.strip()
+        if pending is None:
+            now = f"{now} {corrected(i, x)}" if now else corrected(i, x)
+        else:  # the word across the line end is corrected as one
+            left, right = LAST_WORD.search(now), TOKEN.match(x)
+            whole = left.group() + right.group() if left and right else ""
+            target = across.get(pending, {}).get(whole.lower()) if whole else None
+            if target is None:
+                now += corrected(i, x)
+            else:
+                now = now[: left.start()] + _as_written(whole, target) + corrected(i, x[right.end() :])
         last, parted, dropped = raw, False, False
-        pending = i in joined or kept
+        pending = i if i in joined or kept else None
     if clean and not flowed:
-        return text
+        return canonical(text)
     paragraphs.append(now)
-    body = NUMBER.sub(lambda m: m.group().translate(DIGITS), "\n".join(p for p in paragraphs if p))
-    return TOKEN.sub(lambda m: _as_written(m.group(), better[m.group().lower()]) if m.group().lower() in better else m.group(), body) if better else body
+    return NUMBER.sub(lambda m: m.group().translate(DIGITS), "\n".join(p for p in paragraphs if p))

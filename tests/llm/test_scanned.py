@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,53 @@ def test_repair_without_other_marks(spark):
     assert got == {1: "The friction of 368.5 kPa.", 2: flat, 3: "A title\n" + flat, 4: apart, 5: "The quartz is cold.", 6: "The one  lens"}
 
 
+def test_corrections_stay_at_their_line():
+    fix = lambda line, word, target, score=1.0, line_2=None: {"line_no": line, "line_2": line_2, "word": word, "target": target, "score": score}
+    fixes = [fix(0, "tbe", "the"), fix(1, "tbe", "tube", 2.0), fix(1, "tbe", "tune", 2.0), fix(2, "rnagnet", "magnet", line_2=3)]
+    text = "Tbe lens is\nof tbe and tbe\nnear Rnag-\nnet rnagnet."
+    for order in (fixes, fixes[::-1]):
+        assert scanned._mend(text, order, [2], None) == "The lens is of tune and tune near Magnet rnagnet."
+    assert scanned._mend("cost 1O kg\nand more\nlines", None, None, None, True) == "cost 10 kg and more lines"
+    assert scanned._mend("ｗｉｄｅ", None, None, None) == "wide"
+
+
+def test_vectors_are_learnt():
+    """Words that stand beside the same contexts come near each other, and explain these contexts better than others."""
+    rng = np.random.default_rng(1)
+    kinds = rng.dirichlet(np.full(scanned.BUCKETS, 0.05), 4)
+    counts = np.array([rng.multinomial(300, kinds[k % 4]) for k in range(200)], np.float32)
+    noise = counts.sum(axis=0) ** 0.75
+    noise = (noise / noise.sum()).astype(np.float32)
+    contexts = rng.normal(scale=0.5, size=(scanned.BUCKETS, scanned.DIM)).astype(np.float32)
+
+    def loss(w):
+        x = w @ contexts.T
+        share = counts / counts.sum(axis=1, keepdims=True)
+        return -(share * np.log(scanned._sigmoid(x)) + scanned.NEGATIVES * noise * np.log(scanned._sigmoid(-x))).sum(axis=1).mean()
+
+    w = scanned.word_vectors(counts, contexts, noise)
+    assert loss(w) < loss(np.zeros_like(w)) - 0.2
+    unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+    near = unit @ unit.T
+    same = np.equal.outer(np.arange(200) % 4, np.arange(200) % 4)
+    assert near[same].mean() > 0.9 and near[~same].mean() < near[same].mean() - 0.2
+
+
+def test_context_chooses_between_links(spark):
+    """'bat' leads to 'hat' and 'bah...' by form; the neighbours tell which was meant."""
+    rows = [("text", k, "The steep hill near the warm lane was cold.", None) for k in range(30)] + [("text", 100 + k, "She wrote a tiny hymn for that loud choir.", None) for k in range(30)]
+    rows += [("text", 200 + k, t, None) for k, t in enumerate(["The steep bill near the warm lane was cold."])]
+    got = scanned.Findings(frame(spark, rows)).corrections.collect()
+    assert [(r.row_id, r.word, r.target) for r in got] == [(200, "bill", "hill")] and got[0].fit > 0
+
+
+def test_result_does_not_depend_on_order(spark):
+    rows = [("text", i, CLEAN, None) for i in range(40)] + [("ocr_text", 100, NOISY, None)]
+    texts = [frame(spark, rows), frame(spark, rows[::-1]).repartition(5)]
+    a, b = [{tuple(r) for r in scanned.Findings(t).repaired(t.select("field_name", "row_id", "t")).collect()} for t in texts]
+    assert a == b
+
+
 def test_empty_and_long(spark):
     f = scanned.Findings(frame(spark, [("text", 1, "word-\ning " * 50_000, None)]))
     assert f.defects().where("defect = 'hyphen'").count() == 50_000 - 0
