@@ -1,7 +1,8 @@
 """Deeply nested semi-structured records into flat related tables (problem 5).
 
-One depth-first pass over each record emits tagged rows: table tag, primary key, parent key and a payload.
-The tagged rows are then written partitioned by tag, and each tag gets its own schema.
+One depth-first pass over each record emits tagged rows: table tag, primary key, parent key and a payload, which is the
+columns of all tables, empty where a tag has none of them. The tagged rows are then written partitioned by tag, and
+each tag is read from its own folder with its own schema.
 
 Defined results
 * null, blank or incomplete JSON: no rows for that record.
@@ -148,77 +149,69 @@ def _number(value: object) -> float | None:
         return None
 
 
-def visit(tree: str, tags: frozenset[str]) -> Iterator[tuple[str, str, str, str, int, str]]:
-    """(tag, key, parent key, id, position, payload) of one record, depth first, in the order as stored."""
+PAYLOAD = "type string, role string, x double, y double, w double, h double, value string"
+_NOTHING = (None, None, None, None, None, None)
+
+
+def visit(tree: str) -> Iterator[tuple]:
+    """(tag, key, parent key, id, position, *payload) of one record, depth first, in the order as stored."""
     try:
         value = parse(tree)
     except ValueError:
         return
     todo = [(f"{ROOT}[{i}]", "", i, e) for i, e in enumerate(_entries(value)) if isinstance(e, dict)][::-1]
-    with_op, with_attr, with_payload = OPERATION in tags, ATTRIBUTE in tags, len(tags) > 1
     while todo:
         path, parent, position, group = todo.pop()
-        payload = ""
-        if with_payload:
-            box = group.get("bbox")
-            box = box if isinstance(box, dict) else {}
-            payload = json.dumps(
-                {
-                    "type": group.get("type") if isinstance(group.get("type"), str) else None,
-                    "role": group.get("role") if isinstance(group.get("role"), str) else None,
-                    **{k: _number(box.get(k)) for k in "xywh"},
-                },
-                ensure_ascii=False,
-            )
-        yield GROUP, path, parent, as_text(group.get("id")), position, payload
-        if with_op:
-            ordinals = group.get("operation_ordinals")
-            for i, x in enumerate(ordinals if isinstance(ordinals, list) else []):
-                if isinstance(x, int) and not isinstance(x, bool):
-                    yield OPERATION, f"{path}.operation_ordinals[{i}]", path, "", i, str(x)
-        if with_attr and isinstance(group.get("attributes"), dict):
+        box, kind, role = group.get("bbox"), group.get("type"), group.get("role")
+        box = box if isinstance(box, dict) else {}
+        yield GROUP, path, parent, as_text(group.get("id")), position, kind if isinstance(kind, str) else None, role if isinstance(role, str) else None, *[_number(box.get(k)) for k in "xywh"], None
+        ordinals = group.get("operation_ordinals")
+        for i, x in enumerate(ordinals if isinstance(ordinals, list) else []):
+            if isinstance(x, int) and not isinstance(x, bool):
+                yield OPERATION, f"{path}.operation_ordinals[{i}]", path, "", i, *_NOTHING, str(x)
+        if isinstance(group.get("attributes"), dict):
             for i, (k, v) in enumerate(group["attributes"].items()):
-                yield ATTRIBUTE, f"{path}.attributes.{k}", path, k, i, as_text(v)
+                yield ATTRIBUTE, f"{path}.attributes.{k}", path, k, i, *_NOTHING, as_text(v)
         below = [(f"{path}.{name}[{i}]", path, i, e) for name in LISTS for i, e in enumerate(_entries(group.get(name))) if isinstance(e, dict)]
         todo += below[::-1]
 
 
-def flatten(df: DataFrame, key: Column, tree: Column, tags: tuple[str, ...] = TAGS) -> DataFrame:
+def flatten(df: DataFrame, key: Column, tree: Column) -> DataFrame:
     """One tagged row for each group, operation reference and attribute of every record."""
-    wanted = frozenset(tags) | {GROUP}
+    source = df.select(key.alias("rec_key"), tree.alias("tree")).where("tree is not null")
+    kind = source.schema["rec_key"].dataType.simpleString()
+    schema = f"rec_key {kind}, tag string, row_path string, parent_path string, row_id string, position bigint, {PAYLOAD}"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["rec_key", "tag", "row_path", "parent_path", "row_id", "position", "payload"]
         for batch in batches:
             rows: list[tuple] = []
             for rec, text in zip(batch["rec_key"], batch["tree"]):
-                rows += [(rec, *row) for row in visit(text, wanted)]
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                for row in visit(text):
+                    rows.append((rec, *row))
+                    if len(rows) > 20_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    source = df.select(key.alias("rec_key"), tree.alias("tree")).where("tree is not null")
-    kind = source.schema["rec_key"].dataType.simpleString()
-    return source.mapInPandas(emit, f"rec_key {kind}, tag string, row_path string, parent_path string, row_id string, position bigint, payload string")
-
-
-def groups(df: DataFrame, key: Column, tree: Column) -> DataFrame:
-    """Only the group rows, keys only."""
-    return flatten(df, key, tree, tags=(GROUP,)).select(F.col("rec_key").alias("rec_id"), F.col("row_path").alias("group_path"), "parent_path", F.col("row_id").alias("group_id"))
+    return source.mapInPandas(emit, schema)
 
 
 def tables(df: DataFrame, key: Column, tree: Column) -> dict[str, DataFrame]:
-    """The related tables: the tagged rows are written once, and each tag read with its schema."""
-    tagged = materialize(flatten(df, key, tree), "nested")
+    """The related tables: the tagged rows are written once, by tag, and each tag read with its schema."""
+    tagged = materialize(flatten(df, key, tree), "nested", by="tag")
 
     def of(tag: str) -> DataFrame:
         return tagged.where(F.col("tag") == tag)
 
-    payload = F.from_json("payload", "type string, role string, x double, y double, w double, h double")
     return {
-        GROUP: of(GROUP).withColumn("p", payload).select("rec_key", "row_path", "parent_path", "row_id", "position", "p.*"),
-        OPERATION: of(OPERATION).select("rec_key", "row_path", "parent_path", "position", F.col("payload").cast("bigint").alias("ordinal")),
-        ATTRIBUTE: of(ATTRIBUTE).select("rec_key", "row_path", "parent_path", F.col("row_id").alias("name"), F.col("payload").alias("value")),
+        GROUP: of(GROUP).select("rec_key", "row_path", "parent_path", "row_id", "position", "type", "role", "x", "y", "w", "h"),
+        OPERATION: of(OPERATION).select("rec_key", "row_path", "parent_path", "position", F.expr("try_cast(value as bigint)").alias("ordinal")),
+        ATTRIBUTE: of(ATTRIBUTE).select("rec_key", "row_path", "parent_path", F.col("row_id").alias("name"), "value"),
     }
+
+
+def groups(df: DataFrame, key: Column, tree: Column) -> DataFrame:
+    """The table of groups, keys only."""
+    return tables(df, key, tree)[GROUP].select(F.col("rec_key").alias("rec_id"), F.col("row_path").alias("group_path"), "parent_path", F.col("row_id").alias("group_id"))

@@ -30,7 +30,7 @@ def test_shapes(spark):
 def test_any_depth():
     depth = 30_000
     text = '{"children":[' * depth + "1" + "]}" * depth
-    assert sum(1 for _ in nested.visit(text, frozenset({"group"}))) == depth
+    assert sum(1 for _ in nested.visit(text)) == depth
     for bad in ("[1", "[1,]", '{"a":}', '{"a" 1}', "[1] 2", "[tru]", '{1:2}'):
         try:
             nested._parse_deep(bad)
@@ -49,3 +49,18 @@ def test_tables(spark):
     assert sorted(r.ordinal for r in t["operation"].collect()) == [3, 4]
     assert {(r.name, r.value) for r in t["attribute"].collect()} == {("alt", "A"), ("n", "1")}
     assert t["group"].where("false").count() == 0 and nested.groups(df.where("false"), F.col("rec_id"), F.col("group_tree")).count() == 0
+
+
+def test_tags_are_read_from_their_own_folders(spark):
+    df = spark.createDataFrame([(1, json.dumps([{"id": "a", "operation_ordinals": [2 ** 70, 5]}]))], "rec_id long, group_tree string")
+    t = nested.tables(df, F.col("rec_id"), F.col("group_tree"))
+    assert "PartitionFilters: [isnotnull(tag" in t["operation"]._jdf.queryExecution().toString()
+    assert sorted(str(r.ordinal) for r in t["operation"].collect()) == ["5", "None"]
+
+
+def test_records_without_an_id(spark, tmp_path):
+    from leafloom.plans.nested import pages
+
+    trees = [json.dumps([{"id": x}]) for x in "abb"]
+    spark.createDataFrame([(None, t) for t in trees] + [(1, trees[0]), (1, trees[0])], "rec_id long, group_tree string").write.parquet(f"{tmp_path}/renderable_pages.parquet")
+    assert pages(spark, str(tmp_path)).count() == 3
