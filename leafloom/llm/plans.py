@@ -55,8 +55,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts without their repeated lines."""
     documents, nodes = read(spark, sf_dir, "documents"), read(spark, sf_dir, "page_nodes")
-    a = repeated.remove(documents.select("doc_id", "text"), "doc_id", "text", repeated_lines(documents))
-    b = repeated.remove(nodes.select("node_no", "text").distinct(), "node_no", "text", repeated_nodes(nodes), split=False)
+    source, doc = F.col("source"), F.col("doc_id")
+    _, kept = repeated.tried_and_kept(documents, source, doc, doc, F.col("text"))
+    a = repeated.remove(documents.select("source", "doc_id", "text"), source, doc, "text", kept)
+    book, page = F.col("book_id"), F.col("page_id")
+    _, kept = repeated.tried_and_kept(nodes, book, page, F.col("node_no"), F.col("text"), split=False)
+    b = repeated.remove(nodes.select("book_id", "page_id", "node_no", "text"), book, page, "text", kept, split=False)
+    b = b.select("node_no", "text").distinct()
     return a.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text").unionByName(b.select(F.lit("page_nodes").alias("tbl"), F.col("node_no").alias("row_id"), "text"))
 
 

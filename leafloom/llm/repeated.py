@@ -5,7 +5,8 @@
    below half of the wanted share. Sums of the summaries, plus the summed errors, are upper bounds of the true counts:
    no line that is frequent enough can be missing among the candidates.
 2. A second pass counts the candidates exactly, each once a document.
-3. The confirmed lines are joined back, or removed, as a broadcast set where its counted rows are few, else by a shuffle.
+3. The confirmed lines are joined back as a broadcast set where its counted rows are few, else by a shuffle. They are
+   removed in one pass over the texts with the set of each source, broadcast likewise, else its texts in several parts.
 
 Lines are the same when they differ only in case, in outer or repeated spaces or in the digits of a number.
 
@@ -25,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.joins import small_set
+from leafloom.llm.joins import small_set, with_one
 from leafloom.session import materialize
 
 MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE = 12, 5, 0.10
+SOURCES_A_TASK = 2_000
 
 
 def line_key(line: Column) -> Column:
@@ -70,6 +72,10 @@ class Summary:
 def summaries(each: DataFrame, share: float = MIN_SHARE, least: int = 64) -> DataFrame:
     """(source, hash, n, error): of every task, its counters per source; the row with a null hash carries the error."""
 
+    def written(x: tuple[str, Summary]) -> pd.DataFrame:
+        name, s = x
+        return pd.DataFrame({"source": name, "hash": pd.array([*s.keys, None], dtype="Int64"), "n": [*s.counts, 0], "error": [0] * len(s.keys) + [s.error]})
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Summary] = {}
         seen: dict[str, list[int]] = {}
@@ -88,8 +94,10 @@ def summaries(each: DataFrame, share: float = MIN_SHARE, least: int = 64) -> Dat
                 # n / capacity bounds the error; this keeps it below half of share x documents
                 summary.capacity = max(summary.capacity, int(2 * so_far[0] / (share * max(1, so_far[1]))) + 1)
                 summary.add(*np.unique(hashes[part], return_counts=True))
-        for name, s in held.items():
-            yield pd.DataFrame({"source": name, "hash": pd.array([*s.keys, None], dtype="Int64"), "n": [*s.counts, 0], "error": [0] * len(s.keys) + [s.error]})
+            if len(held) > SOURCES_A_TASK:  # they are merged later
+                yield from map(written, held.items())
+                held, seen = {}, {}
+        yield from map(written, held.items())
 
     return each.select("source", F.xxhash64("doc").alias("doc_hash"), "hash").mapInPandas(emit, "source string, hash bigint, n bigint, error bigint")
 
@@ -107,17 +115,28 @@ def confirmed(each: DataFrame, sizes: DataFrame, share: float = MIN_SHARE, least
     return tried, materialize(kept, "line-confirmed")
 
 
-def found(df: DataFrame, source: Column, doc: Column, row: Column, text: Column, split: bool = True) -> DataFrame:
-    """(row_id, line_no) of every repeated line."""
+def tried_and_kept(df: DataFrame, source: Column, doc: Column, row: Column, text: Column, split: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What confirmed() gives for a table of texts."""
     sizes = df.select(source.alias("source"), doc.alias("doc")).where("source is not null and doc is not null").distinct().groupBy("source").agg(F.count("*").alias("n_docs"))
     each = materialize(lines(df, source, doc, row, text, split), "lines")  # the texts are read once
-    tried, kept = confirmed(each, sizes)
+    return confirmed(each, sizes)
+
+
+def found(df: DataFrame, source: Column, doc: Column, row: Column, text: Column, split: bool = True) -> DataFrame:
+    """(row_id, line_no) of every repeated line."""
+    tried, kept = tried_and_kept(df, source, doc, row, text, split)
     return tried.join(small_set(kept.select("source", "hash", "check")), ["source", "hash", "check"], "left_semi").select("row_id", "line_no").distinct()
 
 
-def remove(df: DataFrame, row: str, text: str, where: DataFrame, split: bool = True) -> DataFrame:
-    """df with the found lines taken out of the text; a text of nothing else becomes empty."""
-    gone = where.groupBy(F.col("row_id").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
-    marked = df.join(gone, F.col(row) == F.col("_gone_row"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i.cast("bigint"))), "\n") if split else F.lit("")
-    return marked.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_gone", "_gone_row")
+def remove(df: DataFrame, source: Column, doc: Column, text: str, kept: DataFrame, split: bool = True) -> DataFrame:
+    """df with the confirmed lines of each text's source taken out; a text of nothing else becomes empty. One pass: the texts stay where they are while the set is within the bound of a broadcast."""
+    sets = kept.groupBy(F.col("source").alias("_source")).agg(F.collect_set(F.struct("hash", "check")).alias("_gone"))
+    marked = with_one(df.withColumn("_source", F.when(doc.isNotNull(), source)), sets, "_source")
+
+    def stays(line: Column) -> Column:
+        key = line_key(line)
+        one = F.struct(F.xxhash64(key).alias("hash"), F.xxhash64(key, F.lit(1)).alias("check"))
+        return (F.length(line) < MIN_LETTERS) | ~has_letters(line) | ~F.array_contains("_gone", one)
+
+    rest = F.array_join(F.filter(F.split(text, "\n"), stays), "\n") if split else F.when(stays(F.col(text)), F.col(text)).otherwise("")
+    return marked.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)).select(*df.columns)

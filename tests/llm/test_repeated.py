@@ -40,11 +40,23 @@ def test_small_cases(spark):
     where = repeated.found(df, *args)
     got = {(r.row_id, r.line_no) for r in where.collect()}
     assert got == brute([(s, d, d, (t or "").split("\n")) for s, d, t, _ in rows])
-    texts = {r.doc_id: (r.text, r.key) for r in repeated.remove(df, "doc_id", "text", where).collect()}
+    texts = {r.doc_id: (r.text, r.key) for r in repeated.remove(df, args[0], args[1], "text", repeated.tried_and_kept(df, *args)[1]).collect()}
     assert texts[9] == ("", "c") and texts[10] == (None, "c") and texts[11] == ("", "c") and texts[12][0] == "Page 1 of the Same Notice" and texts[7][0].startswith("body 7")
     assert repeated.found(df.where("false"), *args).count() == 0
 
 
+def test_removed_are_the_found_lines(spark, monkeypatch):
+    """The pass over the texts takes out what found() lists, with few and with many sources a task."""
+    df = read(spark, SF, "documents")
+    args = F.col("source"), F.col("doc_id"), F.col("doc_id"), F.col("text")
+    gone = {(r.row_id, r.line_no) for r in repeated.found(df, *args).collect()}
+    monkeypatch.setattr(repeated, "SOURCES_A_TASK", 1)
+    left = {r.doc_id: r.text for r in repeated.remove(df, args[0], args[1], "text", repeated.tried_and_kept(df, *args)[1]).collect()}
+    for r in df.collect():
+        want = None if r.text is None else "\n".join(x for i, x in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone)
+        assert left[r.doc_id] == want
+
+
 def test_summary_bounds():
     rng = np.random.default_rng(1)
     stream = np.concatenate([rng.zipf(1.3, 20_000), rng.integers(10**6, 2 * 10**6, 20_000)])
