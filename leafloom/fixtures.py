@@ -53,8 +53,11 @@ def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate(spark: SparkSession, sf: str) -> DataFrame:
-    """The nodes as a later run might give them: some dropped, moved, retyped and added."""
-    s = solid(spark, sf)
+    return candidate_of(solid(spark, sf))
+
+
+def candidate_of(s: DataFrame) -> DataFrame:
+    """Nodes as a later run might give them: some dropped, moved, retyped and added."""
     kept = s.where("confidence >= 0.55").withColumn("type", F.when(F.col("confidence") > 0.97, "caption").otherwise(F.col("type"))).withColumn("x", F.col("x") + F.when(F.col("confidence") > 0.9, 3).otherwise(F.col("h") % 2))
     new = s.where("confidence between 0.5 and 0.6").withColumn("node_id", F.concat("node_id", F.lit("-new")))
     return kept.unionByName(new).withColumn("b", box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))

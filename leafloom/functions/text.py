@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import unicodedata
 
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-# What marks LaTeX that needs structure.
-STRUCTURAL_LATEX = r"\\(frac|sqrt|sum|int|begin|left|right|vec|overline)\b|[_^]\{"
+# What marks LaTeX that needs structure, and the styles of fonts.
+STRUCTURAL_LATEX = r"\\(?:frac|sqrt|sum|prod|int|begin|overline|underline|overset|underset|vec|hat|bar|left|right)|[_^].*[_^]"
+FONT_STYLES = ("Regular", "Bold", "Italic", "Oblique", "Light", "Medium", "Semibold", "Black")
 
 
 def filled(c: Column) -> Column:
@@ -67,9 +69,10 @@ def replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def render_policy(latex: Column, inline: Column) -> Column:
-    """Whether a formula can be plain text."""
-    kind = F.when(filled(latex).isNull(), "math").when(latex.rlike(STRUCTURAL_LATEX), "math").when((F.length(latex) <= 12) & ~latex.contains("\\\\"), "text").otherwise("math")
-    return F.concat_ws("-", F.when(inline, "inline").otherwise("display"), kind)
+    """Whether a formula can be plain text: it is short, of one line and needs no structure."""
+    t = F.trim(F.coalesce(latex, F.lit("")))
+    plain = (t != "") & ~t.rlike(STRUCTURAL_LATEX) & (F.length(t) <= 12) & ~t.contains("\\\\")
+    return F.when(plain, "text").when(inline, "inline_math").otherwise("display_math")
 
 
 def without_math_marks(c: Column) -> Column:
@@ -83,10 +86,67 @@ def without_math_marks(c: Column) -> Column:
 
 
 def font_parts(base: Column) -> Column:
-    """(family, style, subset) of a base font name: subset prefix and the style behind the first dash."""
-    name = F.regexp_replace(base, r"^/?(?:[A-Z]{6}\+)?", "")
-    part = lambda pattern: F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
-    return F.struct(part("^([^-]*)").alias("family"), part("-(.*)$").alias("style"), F.nullif(F.regexp_extract(base, r"^/?([A-Z]{6})\+", 1), F.lit("")).alias("subset"))
+    """(family, style, subset) of a base font name: subset prefix, and a known style behind the last dash; other dashes belong to the family."""
+    name = F.regexp_replace(base, r"^/?(?:[A-Z]{6}\+(?=.))?", "")
+    styled = f"^(.*)-({'|'.join(FONT_STYLES)})$"
+    style = F.nullif(F.regexp_extract(name, styled, 2), F.lit(""))
+    family = F.when(style.isNull(), name).otherwise(F.regexp_extract(name, styled, 1))
+    return F.struct(F.nullif(family, F.lit("")).alias("family"), style.alias("style"), F.nullif(F.regexp_extract(base, r"^/?([A-Z]{6})\+.", 1), F.lit("")).alias("subset"))
+
+
+def outline_score(text: Column, section: Column, title: Column) -> Column:
+    """How well a normalised text fits an outline entry: 1 where it is its title, with or without the number; 0.79 where it is a
+    longer part of the title and, for a numbered entry, begins with the number; else the likeness of the characters."""
+
+    def of(texts: pd.Series, sections: pd.Series, titles: pd.Series) -> pd.Series:
+        out = []
+        for t, number, name in zip(texts, sections, titles):
+            number, name = number or "", name or ""
+            whole = {x for x in (name, f"{number} {name}".strip() if number else "") if x}
+            if not t:
+                out.append(0.0)
+            elif t in whole:
+                out.append(1.0)
+            elif len(t) >= 10 and name and t in name and (not number or t == number or t.startswith(f"{number} ")):
+                out.append(0.79)
+            else:
+                out.append(max((difflib.SequenceMatcher(None, t, x).ratio() for x in whole), default=0.0))
+        return pd.Series(out, dtype=float)
+
+    return F.pandas_udf(of, DoubleType())(text, section, title)
+
+
+def _object(replies: pd.Series) -> pd.Series:
+    def one(reply: str | None) -> str | None:
+        found = (reply or "")[(reply or "").find("{") : (reply or "").rfind("}") + 1]
+        try:
+            return found if isinstance(json.loads(found), dict) else None
+        except ValueError:
+            return None
+
+    return pd.Series([one(x) for x in replies], dtype=object)
+
+
+# The JSON object in a reply, from its first to its last brace; null where there is none that is complete. The built-in parsers let pass what follows an object.
+json_object = F.pandas_udf(_object, StringType())
+
+
+def _payload_text(payloads: pd.Series) -> pd.Series:
+    def one(payload: str | None) -> str | None:
+        if payload is None:
+            return None
+        value = json.loads(payload)
+        direct = value.get("output_text")
+        if isinstance(direct, str) and direct.strip():
+            return direct.strip()
+        outputs = [x for x in value.get("output", []) if isinstance(x, dict) and isinstance(x.get("content", []), list)]
+        parts = [part.get(key) for x in outputs for part in x.get("content", []) if isinstance(part, dict) for key in ("text", "output_text")]
+        return "".join(x for x in parts if isinstance(x, str) and x.strip()).strip() or json.dumps(value, ensure_ascii=False, indent=2)
+
+    return pd.Series([one(x) for x in payloads], dtype=object)
+
+
+payload_text = F.pandas_udf(_payload_text, StringType())
 
 
 def outline_level(section: Column, level: Column) -> Column:

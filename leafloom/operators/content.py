@@ -1,6 +1,6 @@
 """Page content as ordered operations (page_id, ordinal, operator, x, y, w, h): scopes, state, spans, owners.
 
-Well nested pages are handled by windows; pages whose scopes do not nest go to a stack machine, one page a group.
+Windows pair the scopes of pages on which they nest; S.malformed tells the others, and structured() handles both with a stack, a page a group.
 """
 
 from __future__ import annotations
@@ -127,24 +127,46 @@ def clusters(blocks: DataFrame, most: int = 8) -> DataFrame:
     return g.where("n >= 2").drop("cluster")
 
 
-def visual_spans(ops: DataFrame) -> DataFrame:
-    """(page_id, span, kind, first, last, n): text blocks, painted paths and single painters; other operators cut a path."""
-    path_op = is_in([*CONSTRUCT, *PAINT_FILL, *PAINT_STROKE])
-    in_text = F.coalesce(last_of(["BT"]) > F.coalesce(last_of(["ET"], "ordinal", Window.partitionBy("page_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)), F.lit(False))
-    w = Window.partitionBy("page_id").orderBy("ordinal")
-    s = ops.withColumn("in_text", in_text).withColumn("kind", F.when(F.col("in_text"), "text").when(path_op, "path").when(is_in(["Do", "sh"]), "single").otherwise(F.lit(None).cast("string")))
-    kept = s.where(F.col("kind").isNotNull() | ~is_in(["q", "Q", "W", "W*"]))
-    before, previous = F.lag("kind").over(w), F.lag("operator").over(w)
-    starts = F.col("kind").isNotNull() & (before.isNull() | (before != F.col("kind")) | (F.col("operator") == "BT") | (F.col("kind") == "single") | ((F.col("kind") == "path") & previous.isin(*PAINT_FILL, *PAINT_STROKE)))
-    marked = S.island_ids(kept.withColumn("starts", starts), PAGE, ["ordinal"], F.col("starts"), "span").where("kind is not null")
-    return marked.groupBy("page_id", "span", "kind").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n"), F.max_by("operator", "ordinal").alias("painter"), F.count_if(is_in(CONSTRUCT)).alias("n_construct"), F.max(F.when(F.col("operator") == "re", F.greatest("w", "h"))).alias("long"), F.max(F.when(F.col("operator") == "re", F.least("w", "h"))).alias("thin"))
+POINTS = ("m", "l", "c", "v", "y", "re")
+KEEP_PATH = ("q", "Q", "W", "W*", "Do", "sh")
+
 
+def visual_spans(ops: DataFrame, owned: Column | None = None) -> DataFrame:
+    """(page_id, kind, first, last, n, ..., owned): text from BT to ET, paths that are painted, and single painters.
 
-def classify(spans: DataFrame) -> DataFrame:
+    A path begins anew at any operator but the state ones; what is not painted before that, and text without an end, is none.
+    owned: whether an operation has an owner; a span is owned where all its operations are.
+    """
+    upto, before = _upto(), Window.partitionBy("page_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    bt = F.last(F.when(F.col("operator") == "BT", F.col("ordinal")), True).over(upto)
+    et = F.last(F.when(F.col("operator") == "ET", F.col("ordinal")), True).over(before)
+    s = ops.withColumn("has_owner", F.lit(False) if owned is None else owned).withColumn("bt", bt).withColumn("et", et)
+    s = s.withColumn("in_text", F.coalesce(F.col("bt") > F.coalesce("et", F.lit(-1)), F.lit(False)))
+    paint = is_in([*PAINT_FILL, *PAINT_STROKE])
+    cuts = (F.col("in_text") & (F.col("operator") == "BT")) | (~F.col("in_text") & ~is_in([*CONSTRUCT, *KEEP_PATH]))
+    s = s.withColumn("part", F.coalesce(F.sum(F.when(cuts, 1).otherwise(0)).over(before), F.lit(0)))
+    kind = F.when(F.col("in_text"), "text_span").when(is_in(CONSTRUCT) | paint, "path_span").when(F.col("operator") == "Do", "image_operation").when(F.col("operator") == "sh", "shading_operation")
+    span = F.when(F.col("in_text"), F.col("bt")).when(is_in(["Do", "sh"]), F.col("ordinal")).otherwise(F.col("part"))
+    s = s.withColumn("kind", kind).where("kind is not null").withColumn("span", span)
+    point, rect = is_in(POINTS), F.col("operator") == "re"
+    edge = lambda f, c, size: f(F.when(point, F.col(c) + F.when(rect, F.col(size)).otherwise(0.0)))
+    low = lambda c, size: F.least(F.min(F.when(point, F.col(c))), edge(F.min, c, size))
+    high = lambda c, size: F.greatest(F.max(F.when(point, F.col(c))), edge(F.max, c, size))
+    g = s.groupBy("page_id", "kind", "span").agg(
+        F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n"), F.max_by("operator", "ordinal").alias("painter"), F.count_if(is_in(CONSTRUCT)).alias("n_construct"),
+        F.count_if(is_in(["m", "l", "c", "v", "y"])).alias("n_lines"), (high("x", "w") - low("x", "w")).alias("width"), (high("y", "h") - low("y", "h")).alias("height"), F.bool_and("has_owner").alias("owned"),
+    )
+    painted = F.col("painter").isin(*PAINT_FILL, *PAINT_STROKE) & (F.col("n_construct") > 0)
+    return g.where(F.when(F.col("kind") == "text_span", F.col("painter") == "ET").when(F.col("kind") == "path_span", painted).otherwise(F.lit(True))).drop("span")
+
+
+def classify(spans: DataFrame, thin_length: float = 6.0, thin_width: float = 2.5) -> DataFrame:
     """What an unowned span may be."""
-    stroke, fill = F.col("painter").isin(*PAINT_STROKE), F.col("painter").isin(*PAINT_FILL)
-    c = F.when(F.col("kind") == "text", "text_content").when(F.col("kind") == "single", "object").when(stroke & (F.col("n_construct") <= 2), "radical_or_geometry_stroke").when(stroke, "stroke_path")
-    return spans.withColumn("class", c.when(fill & (F.col("long") >= 6) & (F.col("thin") <= 2.5), "thin_rule_or_fraction_bar").when(fill, "filled_path").otherwise("unpainted_path"))
+    stroke = F.col("painter").isin(*PAINT_STROKE)
+    c = F.when(F.col("kind") == "text_span", "text_content_candidate").when(F.col("kind") == "image_operation", "embedded_image_candidate").when(F.col("kind") == "shading_operation", "shading_candidate")
+    c = c.when(stroke & (F.col("n_lines") <= 2), "radical_or_geometry_stroke_candidate").when(stroke, "geometry_stroke_candidate")
+    thin = (F.greatest("width", "height") >= thin_length) & (F.least("width", "height") <= thin_width)
+    return spans.withColumn("class", c.when(thin, "thin_rule_or_fraction_bar_candidate").otherwise("filled_geometry_candidate"))
 
 
 def local(ops: DataFrame, owned: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -263,3 +263,28 @@ def line_boxes(img: np.ndarray, wanted: int, pad: int = 4) -> list[tuple[int, in
         found = expanded(found or [(y, y + h)], wanted)
     H, W = img.shape
     return [(max(0, x - pad), max(0, a - pad), min(W, x + w + pad) - max(0, x - pad), min(H, b + pad) - max(0, a - pad)) for a, b in found]
+
+
+def is_zero(data: Column, channels: int) -> Column:
+    """Whether no colour sample of interleaved pixels is above zero; a fourth or second channel is alpha and does not count."""
+    pixel = {1: "00", 2: "00..", 3: "000000", 4: "000000.."}[channels]
+    return F.hex(data).rlike(f"^(?:{pixel})*$")
+
+
+def mask_union(masks: DataFrame, text: str, formula: str) -> DataFrame:
+    """masks with mask (text or formula, pixel by pixel), promoted_to_page (an empty text mask beside formulas becomes the whole page) and n_promoted pixels."""
+
+    def one(texts: pd.Series, formulas: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, f in zip(texts, formulas):
+            if t is None or f is None or len(t) != len(f):
+                rows.append((None, None, None))
+                continue
+            a, b = np.frombuffer(t, np.uint8), np.frombuffer(f, np.uint8)
+            whole = not a.any() and bool(b.any())
+            out = np.full_like(a, 255) if whole else a | b
+            rows.append((out.tobytes(), whole, int(((out > 0) & (a == 0)).sum())))
+        return pd.DataFrame(rows, columns=["mask", "promoted_to_page", "n_promoted"])
+
+    union = F.pandas_udf(one, "mask binary, promoted_to_page boolean, n_promoted bigint")
+    return masks.withColumn("_u", union(text, formula)).select(*masks.columns, "_u.*")

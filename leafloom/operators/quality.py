@@ -13,6 +13,7 @@ from leafloom.operators import match
 # Least and greatest heights by class, and the types whose loss counts.
 CLASS_RANGES = {"body": (8, 60), "heading": (12, 70), "note": (6, 50), "formula": (8, 80)}
 VALUABLE = ("equation", "image", "diagram_component", "table", "text_band", "text_fragment", "heading", "caption")
+OBSTACLE_TYPES = ("equation", "image", "diagram_component", "table")
 TEXT_TYPES = ("text_band", "text_fragment", "heading", "caption", "page_number", "header", "footer")
 
 
@@ -36,10 +37,15 @@ def class_ranges(nodes: DataFrame, ranges: dict[str, tuple[int, int]] = CLASS_RA
 
 def line_breaks(nodes: DataFrame) -> DataFrame:
     """Text fields with a line end, real or spelled out; in a formula only for review."""
-    has = lambda c: F.coalesce(F.col(c).contains("\n") | F.col(c).contains("\\n"), F.lit(False))
+    has = lambda c: F.col(f"{c}_breaks") if f"{c}_breaks" in nodes.columns else broken(F.col(c))
     return finding(nodes.where(has("text") | has("latex")), "line_break_field", F.when(has("text"), "error").otherwise("review"), F.lit(1))
 
 
+def broken(c: Column) -> Column:
+    """Whether a text holds a line end, real or spelled out."""
+    return F.coalesce(c.contains("\n") | c.contains("\\n"), F.lit(False))
+
+
 def covered_text(nodes: DataFrame, obstacles: DataFrame, relations: DataFrame, least: float = 0.05) -> DataFrame:
     """Text that an obstacle of its page covers, unless one of the two names the other. relations: (node_id, target)."""
     t = nodes.where(F.col("type").isin(*TEXT_TYPES)).select("page_id", "node_id", "b")
@@ -49,10 +55,15 @@ def covered_text(nodes: DataFrame, obstacles: DataFrame, relations: DataFrame, l
     return finding(named, "mask_intersection", "review", F.col("part"))
 
 
-def duplicates(nodes: DataFrame, least: float = 0.98) -> DataFrame:
-    a = nodes.select("page_id", "type", "node_id", "node_no", "b")
-    b = nodes.select("page_id", "type", F.col("node_no").alias("no_2"), F.col("b").alias("b_2"))
-    hit = match.candidates(a, b, ["page_id", "type"], (F.col("node_no") < F.col("no_2")) & B.intersects(F.col("b"), F.col("b_2")))
+def duplicates(nodes: DataFrame, least: float = 0.98, tile: int = 200) -> DataFrame:
+    """Text and obstacle nodes of one type with nearly the same box. Such boxes begin in the same or neighbouring tiles, so the pairs of a page with very many nodes are not all tried."""
+    nodes = nodes.where(F.col("type").isin(*TEXT_TYPES, *OBSTACLE_TYPES))
+    # with an IoU of at least `least` the corners are less apart than 1 - least of the sides
+    near = F.floor(F.col("y") / tile)
+    a = nodes.withColumn("tile", near).select("page_id", "type", "tile", "node_id", "node_no", "b")
+    reach = F.ceil((1 - least) * F.col("h") / least).cast("bigint")
+    b = nodes.withColumn("tile", F.explode(F.sequence(F.floor((F.col("y") - reach) / tile), F.floor((F.col("y") + reach) / tile)))).select("page_id", "type", "tile", F.col("node_no").alias("no_2"), F.col("b").alias("b_2"))
+    hit = match.candidates(a, b, ["page_id", "type", "tile"], (F.col("node_no") < F.col("no_2")) & B.intersects(F.col("b"), F.col("b_2")))
     return finding(hit.withColumn("iou", B.iou(F.col("b"), F.col("b_2"))).where(F.col("iou") >= least), "duplicate_bbox", "review", F.round("iou", 4))
 
 

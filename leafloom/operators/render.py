@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 
 import pandas as pd
@@ -11,8 +12,10 @@ from pyspark.sql.types import StringType
 
 from leafloom.functions import box as B
 
-# Command names and their characters.
-SYMBOLS = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "theta": "θ", "lambda": "λ", "mu": "μ", "nu": "ν", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "phi": "φ", "omega": "ω", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω", "cdot": "·", "times": "×", "pm": "±", "le": "≤", "ge": "≥", "ne": "≠", "approx": "≈", "infty": "∞", "to": "→", "sum": "∑", "int": "∫"}
+# Command names and their characters, letters and operators.
+GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "vartheta": "ϑ", "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "upsilon": "υ", "phi": "φ", "varphi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω"}
+OPERATORS = {"cdot": "·", "times": "×", "pm": "±", "mp": "∓", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "neq": "≠", "approx": "≈", "doteq": "≐", "to": "→", "rightarrow": "→", "Rightarrow": "⇒", "leftarrow": "←", "angle": "∠", "measuredangle": "∡", "triangleleft": "◁", "sum": "∑"}
+SYMBOLS = {**GREEK, **OPERATORS, "ne": "≠", "infty": "∞", "int": "∫"}
 BACKGROUND = ("image", "diagram_component", "table")
 _TOKEN = re.compile(r"\\([A-Za-z]+)|\\(.)|([{}^_])|(\s+)|([0-9]+(?:\.[0-9]+)?)|(.)", re.S)
 
@@ -54,7 +57,7 @@ class _Formula:
             if m[1] in ("text", "mathrm"):
                 return self.argument()
             if m[1] in SYMBOLS:
-                return ["mo" if SYMBOLS[m[1]] in "·×±≤≥≠≈→∑∫" else "mi", SYMBOLS[m[1]]]
+                return ["mi" if m[1] in GREEK or m[1] == "infty" else "mo", SYMBOLS[m[1]]]
             raise ValueError(m[1])
         if m[2]:
             return ["mo", m[2]]
@@ -93,19 +96,97 @@ def _html(node: list) -> str:
     return escape(node[1])
 
 
+# One token: a command, an escaped character, or a character.
+_PIECE = re.compile(r"\\([^\W\d_]+)|\\(.)?|(.)", re.S)
+
+
+def _tree(text: str) -> list[list]:
+    """The nodes of a formula. Every text has some: unknown commands are names, what is left open ends with the text.
+
+    A node is [kind, ...]; open holds the nodes that still want arguments, the innermost last.
+    """
+    pieces = [(m[1], m[2], m[3]) for m in _PIECE.finditer(text)]
+    at = 0
+
+    def one(depth: int) -> list | None:
+        """The node that begins here, without its scripts."""
+        nonlocal at
+        name, escaped, char = pieces[at]
+        at += 1
+        if char == "{":
+            return ["row", row(depth + 1, True)]
+        if char is None and name is None:
+            return ["mo", escaped] if escaped else ["mi", "?"]
+        if char is not None:
+            return None if char == "}" else ["mi" if char.isalpha() else "mn" if char.isdigit() or char in ",." else "mo", char]
+        if name in ("left", "right"):
+            return None
+        wanted = {"frac": 2, "sqrt": 1, "vec": 1}.get(name, 0)
+        if wanted:
+            return [name, *[argument(depth + 1) for _ in range(wanted)]]
+        return ["mi", GREEK[name]] if name in GREEK else ["mo", OPERATORS[name]] if name in OPERATORS else ["mi", name]
+
+    def scripted(base: list, depth: int) -> list:
+        scripts: dict[str, list] = {}
+        nonlocal at
+        while at < len(pieces) and pieces[at][2] in ("_", "^"):
+            mark = pieces[at][2]
+            at += 1
+            scripts[mark] = argument(depth + 1)
+        return ["scripts", base, scripts.get("_"), scripts.get("^")] if scripts else base
+
+    def argument(depth: int) -> list:
+        nonlocal at
+        while at < len(pieces) and pieces[at][2] is not None and pieces[at][2].isspace():
+            at += 1
+        if at == len(pieces):
+            return ["nothing"]
+        grouped = pieces[at][2] == "{"
+        node = one(depth)
+        return node if grouped else scripted(node or ["nothing"], depth)
+
+    def row(depth: int, grouped: bool) -> list[list]:
+        nonlocal at
+        if depth > 150:
+            raise ValueError("too deep")
+        out = []
+        while at < len(pieces):
+            char = pieces[at][2]
+            if grouped and char == "}":
+                at += 1
+                break
+            if char is not None and char.isspace():
+                at += 1
+                continue
+            node = one(depth)
+            if node:
+                out.append(scripted(node, depth))
+        return out
+
+    return row(0, False)
+
+
+def _row(nodes: list[list]) -> str:
+    inner = [_mathml(x) for x in nodes]
+    return inner[0] if len(inner) == 1 else f"<mrow>{''.join(inner)}</mrow>"
+
+
 def _mathml(node: list) -> str:
     kind = node[0]
     if kind == "row":
-        return f"<mrow>{''.join(map(_mathml, node[1]))}</mrow>"
-    if kind in ("sup", "sub"):
-        return f"<m{kind}>{_mathml(node[1])}{_mathml(node[2])}</m{kind}>"
+        return _row(node[1])
+    if kind == "nothing":
+        return ""
+    if kind == "scripts":
+        tag = "msubsup" if node[2] and node[3] else "msub" if node[2] else "msup"
+        return f"<{tag}>{''.join(_mathml(x) for x in node[1:] if x)}</{tag}>"
     if kind == "frac":
         return f"<mfrac>{_mathml(node[1])}{_mathml(node[2])}</mfrac>"
     if kind == "sqrt":
         return f"<msqrt>{_mathml(node[1])}</msqrt>"
-    if kind in ("vec", "overline"):
-        return f"<mover>{_mathml(node[1])}<mo>{'→' if kind == 'vec' else '¯'}</mo></mover>"
-    return f"<{kind}>{escape(node[1])}</{kind}>"
+    if kind == "vec":
+        return f'<mover accent="true">{_mathml(node[1])}<mo>→</mo></mover>'
+    return f"<{kind}>{html.escape(node[1])}</{kind}>"
 
 
 def formula_html(text: str) -> str:
@@ -115,14 +196,25 @@ def formula_html(text: str) -> str:
         return escape(text)
 
 
+# What may stand about a formula.
+DELIMITERS = (("$$", "$$"), ("$", "$"), ("\\(", "\\)"), ("\\[", "\\]"))
+
+
+def bare(text: str) -> str:
+    text = text.strip()
+    for a, b in DELIMITERS:
+        if text.startswith(a) and text.endswith(b):
+            return text[len(a) : -len(b)].strip()
+    return text
+
+
 def formula_mathml(text: str) -> str:
+    text = bare(text)
     try:
-        inner = "".join(map(_mathml, _Formula(text).whole()))
+        inner = _row(_tree(text))
     except ValueError:
-        inner = f"<mtext>{escape(text)}</mtext>"
-    return f"<math>{inner}</math>"
-
-
+        inner = f"<mtext>{html.escape(text)}</mtext>"
+    return f'<math xmlns="http://www.w3.org/1998/Math/MathML">{inner}</math>'
 
 
 latex_html = lambda c: F.pandas_udf(_latex_html, StringType())(c)

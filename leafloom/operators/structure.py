@@ -11,27 +11,38 @@ from leafloom.functions import text as T
 def active_outline(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """(book_id, page, level, entry_no, title): per level the last entry at or before the page, unless a shallower one came later.
 
-    entries: book_id, entry_no (list order), level, page, title; pages: book_id, page. An entry's own book bounds the join.
+    entries: book_id, entry_no (list order), level, page, title; pages: book_id, page. Pages and entries run in one window
+    for each book and level, so no page meets all entries of its book.
     """
-    e = entries.select("book_id", "entry_no", "level", F.col("page").alias("entry_page"), "title")
-    last = pages.join(e, "book_id").where("entry_page <= page").groupBy("book_id", "page", "level").agg(F.max("entry_no").alias("entry_no"), F.max_by("title", "entry_no").alias("title"))
+    rows = pages.join(entries.select("book_id", "level").distinct(), "book_id").select("book_id", "page", "level", F.lit(1).alias("asked"), F.lit(None).cast("struct<entry_no:bigint,title:string>").alias("entry"))
+    marks = entries.select("book_id", "page", "level", F.lit(0).alias("asked"), F.struct(F.col("entry_no").cast("bigint").alias("entry_no"), "title").alias("entry"))
+    upto = Window.partitionBy("book_id", "level").orderBy("page", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.unionByName(marks).withColumn("entry", F.max("entry").over(upto)).where("asked = 1 and entry is not null").select("book_id", "page", "level", "entry.entry_no", "entry.title")
     shallower = Window.partitionBy("book_id", "page").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
     return last.withColumn("above", F.max("entry_no").over(shallower)).where("above is null or entry_no > above").drop("above")
 
 
 def headings(nodes: DataFrame, outline: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """(node_id, entry_no, score): the best outline entry of each text; equal texts first by an equality join, only the rest by similarity.
+    """(node_id, entry_no, score): the best outline entry of each text, of equal scores the longest section, then the first entry.
 
-    nodes: node_id, book_id, text; outline: book_id, entry_no, title. Similarity joins a text to the entries of its own book.
+    nodes: node_id, book_id, text; outline: book_id, entry_no, section, title. Texts equal to an entry's title, with or
+    without its number, are found by an equality join; only the rest, each different text once, meets the entries of its
+    own book whose length can reach the threshold, or that it may be a part of.
     """
     n = nodes.select("node_id", "book_id", T.normalized(F.col("text")).alias("norm")).where("norm <> ''")
-    o = outline.select("book_id", "entry_no", T.normalized(F.col("title")).alias("title_norm"))
-    exact = n.join(o, (n.book_id == o.book_id) & (n.norm == o.title_norm)).select("node_id", "entry_no", F.lit(1.0).alias("score"))
-    rest = n.join(exact.select("node_id"), "node_id", "left_anti")
-    size = F.greatest(F.length("norm"), F.length("title_norm"))
-    near = rest.join(o, "book_id").where(2 * F.least(F.length("norm"), F.length("title_norm")) >= threshold * (F.length("norm") + F.length("title_norm"))).where(size > 0)
-    scored = near.withColumn("score", T.similarity("norm", "title_norm")).where(F.col("score") >= threshold).select("node_id", "entry_no", "score")
-    return exact.unionByName(scored).groupBy("node_id").agg(F.max_by("entry_no", F.struct("score", -F.col("entry_no"))).alias("entry_no"), F.max("score").alias("score"))
+    o = outline.select("book_id", "entry_no", F.length(F.coalesce("section", F.lit(""))).alias("depth"), T.normalized(F.coalesce("section", F.lit(""))).alias("number"), T.normalized(F.coalesce("title", F.lit(""))).alias("name"))
+    rank = F.struct("score", "depth", -F.col("entry_no"))
+    forms = o.withColumn("norm", F.explode(F.array_distinct(F.array("name", F.trim(F.concat_ws(" ", "number", "name")))))).where("norm <> ''")
+    best_form = forms.withColumn("score", F.lit(1.0)).groupBy("book_id", "norm").agg(F.max_by("entry_no", rank).alias("entry_no"))
+    exact = n.join(best_form, ["book_id", "norm"]).select("node_id", "entry_no", F.lit(1.0).alias("score"))
+    texts = n.select("book_id", "norm").distinct().join(best_form.select("book_id", "norm"), ["book_id", "norm"], "left_anti")
+    size, full = F.length("norm"), F.length(F.trim(F.concat_ws(" ", "number", "name")))
+    reach = lambda m: 2 * F.least(size, m) >= threshold * (size + m)
+    part = (F.lit(threshold) <= 0.79) & (size >= 10) & F.col("name").contains(F.col("norm"))
+    tried = texts.join(o, "book_id").where(reach(F.length("name")) | reach(full) | part)
+    scored = tried.withColumn("score", T.outline_score(F.col("norm"), F.col("number"), F.col("name"))).where(F.col("score") >= threshold)
+    best = scored.groupBy("book_id", "norm").agg(F.max_by("entry_no", rank).alias("entry_no"), F.max("score").alias("score"))
+    return exact.unionByName(n.join(best, ["book_id", "norm"]).select("node_id", "entry_no", "score"))
 
 
 def page_map(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Trees as adjacency rows (node, parent). Depth is bounded by the loop's level count, never by the driver's memory."""
+"""Trees as adjacency rows (node, parent) of any depth; nothing of a tree comes to the driver."""
 
 from __future__ import annotations
 
@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from leafloom.session import materialize
 
 
-def paths(nodes: DataFrame, node: str, parent: str, keys: list[str] | None = None, most: int = 64) -> DataFrame:
-    """nodes with path (array from the root) and depth: one join a level, ending when no level is added.
+def paths(nodes: DataFrame, node: str, parent: str, keys: list[str] | None = None) -> DataFrame:
+    """nodes with path (array from the root) and depth, by pointer doubling: each join doubles the depth that is reached.
 
-    A node in a cycle or under a missing parent has no path and is left out.
+    A node in a cycle or under a missing parent has no path and is left out: once a round completes no path, none will be.
     """
     keys = keys or []
-    level = nodes.where(F.col(parent).isNull()).withColumn("path", F.array(node)).withColumn("depth", F.lit(0))
-    out = level = materialize(level, "tree-level")
-    for k in range(1, most):
-        up = level.select(*keys, F.col(node).alias("_up"), F.col("path").alias("_path"))
-        on = [F.col(f"n.{parent}") == F.col("u._up"), *[F.col(f"n.{x}") == F.col(f"u.{x}") for x in keys]]
-        cond = on[0]
-        for c in on[1:]:
-            cond = cond & c
-        level = nodes.alias("n").join(up.alias("u"), cond).select("n.*", F.concat("u._path", F.array(F.col(f"n.{node}"))).alias("path"), F.lit(k).alias("depth"))
-        level = materialize(level, "tree-level")
-        if level.isEmpty():
+    columns = nodes.columns
+    state = nodes.withColumn("_top", F.col(parent)).withColumn("path", F.array(node))
+    state = materialize(state, "tree-paths")
+    n_done = state.where("_top is null").count()
+    while not state.where("_top is not null").isEmpty():
+        up = state.select(*[F.col(k).alias(f"_{k}_up") for k in keys], F.col(node).alias("_up"), F.col("_top").alias("_next"), F.col("path").alias("_path"))
+        on = F.col("_top") == F.col("_up")
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"_{k}_up"))
+        climbed = state.where("_top is not null").join(up, on).select(*columns, F.col("_next").alias("_top"), F.concat("_path", "path").alias("path"))
+        state = materialize(state.where("_top is null").unionByName(climbed), "tree-paths")
+        was, n_done = n_done, state.where("_top is null").count()
+        if n_done == was:
             break
-        out = out.unionByName(level)
-    return out
+    return state.where("_top is null").drop("_top").withColumn("depth", F.size("path") - 1)
 
 
 def ancestors(pathed: DataFrame, node: str, keys: list[str] | None = None) -> DataFrame:

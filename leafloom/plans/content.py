@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from leafloom import fixtures as X
 from leafloom.operators import content as C
 from leafloom.operators import sequence as S
+from leafloom.operators import match
 from leafloom.plans import query
+from leafloom.session import materialize
 
 OPENS, CLOSES = "('q','BT','BDC','BMC')", "('Q','ET','EMC')"
 DEPTH = f"d as (select *, sum(case when operator in {OPENS} then 1 when operator in {CLOSES} then -1 else 0 end) over (partition by page_id order by ordinal rows between unbounded preceding and current row) + case when operator in {CLOSES} then 1 else 0 end as depth from ops)"
@@ -30,13 +32,13 @@ def scope_depth(spark, sf):
     return C.depth(X.ops(spark, sf)).select("page_id", "ordinal", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query("isl_scope_pairs", X.twin("ops", f"with {DEPTH}, t as (select page_id, ordinal, depth, operator in {OPENS} as o, row_number() over (partition by page_id, depth, operator in {OPENS} order by ordinal) as k from d where operator in {OPENS} or operator in {CLOSES}) select a.page_id, a.ordinal as opened, b.ordinal as closed, cast(a.depth as bigint) as depth from t a join t b on a.page_id=b.page_id and a.depth=b.depth and a.k=b.k and a.o and not b.o"))
+@query("isl_scope_pairs", X.twin("ops", f"with {DEPTH}, t as materialized (select page_id, ordinal, depth, operator in {OPENS} as o, row_number() over (partition by page_id, depth, operator in {OPENS} order by ordinal) as k from d where operator in {OPENS} or operator in {CLOSES}) select page_id, a.ordinal as opened, b.ordinal as closed, cast(depth as bigint) as depth from (select * from t where o) a join (select * from t where not o) b using (page_id, depth, k)"))
 def scope_pairs(spark, sf):
     p = S.scope_pairs(X.ops(spark, sf), ["page_id"], "ordinal", C.opens(), C.closes())
     return p.select("page_id", "opened", "closed", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query("isl_scope_tree_stack", X.twin("ops", f"with {DEPTH}, t as (select page_id, ordinal, depth, operator in {OPENS} as o, row_number() over (partition by page_id, depth, operator in {OPENS} order by ordinal) as k from d where operator in {OPENS} or operator in {CLOSES}), p as (select a.page_id, a.ordinal as opened, b.ordinal as closed from t a join t b on a.page_id=b.page_id and a.depth=b.depth and a.k=b.k and a.o and not b.o) select o.page_id, o.ordinal, max(p.opened) as parent from ops o left join p on p.page_id=o.page_id and o.ordinal>p.opened and o.ordinal<=p.closed group by o.page_id, o.ordinal"))
+@query("isl_scope_tree_stack", X.twin("ops", f"with {DEPTH}, t as materialized (select page_id, ordinal, depth, operator in {OPENS} as o, row_number() over (partition by page_id, depth, operator in {OPENS} order by ordinal) as k from d where operator in {OPENS} or operator in {CLOSES}), p as (select a.page_id, a.ordinal as opened, b.ordinal as closed from t a join t b on a.page_id=b.page_id and a.depth=b.depth and a.k=b.k and a.o and not b.o) select o.page_id, o.ordinal, max(p.opened) as parent from ops o left join p on p.page_id=o.page_id and o.ordinal>p.opened and o.ordinal<=p.closed group by o.page_id, o.ordinal"))
 def scope_tree_stack(spark, sf):
     """The stack machine agrees with the pairs on pages that nest."""
     return C.structured(X.ops(spark, sf)).select("page_id", "ordinal", "parent")
@@ -64,7 +66,7 @@ def text_candidates(spark, sf):
     return C.text_candidates(X.ops(spark, sf))
 
 
-@query("isl_text_spans", X.twin("ops", f"""with s as (select *, {lastv("'BT'")} as bt, {nextv("'ET'")} as et, {lastv("'q','Q','BT','ET','BDC','EMC'", "ordinal", PRE)} as bo, {lastv("'q','Q','BT','ET','BDC','EMC'", "operator", PRE)} as bop, lead(operator) over (partition by page_id order by ordinal) as follow from ops) select t.page_id, t.ordinal, case when b.bop='q' then b.bo else b.ordinal end as start, e.ordinal + case when e.follow='Q' then 1 else 0 end as stop from s t join s b on b.page_id=t.page_id and b.ordinal=t.bt join s e on e.page_id=t.page_id and e.ordinal=t.et where t.operator in ('Tj','TJ')"""))
+@query("isl_text_spans", X.twin("ops", f"""with s as materialized (select *, {lastv("'BT'")} as bt, {nextv("'ET'")} as et, {lastv("'q','Q','BT','ET','BDC','EMC'", "ordinal", PRE)} as bo, {lastv("'q','Q','BT','ET','BDC','EMC'", "operator", PRE)} as bop, lead(operator) over (partition by page_id order by ordinal) as follow from ops) select page_id, t.ordinal, case when b.bop='q' then b.bo else b.ordinal end as start, e.ordinal + case when e.follow='Q' then 1 else 0 end as stop from (select page_id, ordinal, bt, et from s where operator in ('Tj','TJ')) t join (select page_id, ordinal as bt, ordinal, bo, bop from s where operator='BT') b using (page_id, bt) join (select page_id, ordinal as et, ordinal, follow from s where operator='ET') e using (page_id, et)"""))
 def text_spans(spark, sf):
     return C.text_spans(X.ops(spark, sf))
 
@@ -83,7 +85,7 @@ def cluster_gap8(spark, sf):
     return C.clusters(C.marked_blocks(X.ops(spark, sf)))
 
 
-SPANS = """spans as (select page_id, k, case when min(operator)='BT' or max(case when operator='BT' then 1 else 0 end)=1 then 'text' else 'path' end as kind, min(ordinal) as first, max(ordinal) as last, count(*) as n, max(case when operator='re' then greatest(w,h) end) as long, max(case when operator='re' then least(w,h) end) as thin from ops where operator in ('BT','Tf','Tm','Tj','ET','m','l','S','re','f*') group by page_id, k)"""
+SPANS = """spans as (select page_id, k, case when max(case when operator='BT' then 1 else 0 end)=1 then 'text_span' else 'path_span' end as kind, min(ordinal) as first, max(ordinal) as last, count(*) as n, max(case when operator='re' then greatest(w,h) end) as long, max(case when operator='re' then least(w,h) end) as thin from ops where operator in ('BT','Tf','Tm','Tj','ET','m','l','S','re','f*') group by page_id, k)"""
 
 
 @query("isl_visual_spans", X.twin("ops", f"with {SPANS} select page_id, kind, first, last, n from spans"))
@@ -91,12 +93,13 @@ def visual_spans(spark, sf):
     return C.visual_spans(X.ops(spark, sf)).select("page_id", "kind", "first", "last", "n")
 
 
-@query("tr_unprocessed", X.twin("ops", f"with {CLUSTERS}, {SPANS}, c as (select s.page_id, case when kind='text' then 'text_content' when long is null then case when n - 1 <= 2 then 'radical_or_geometry_stroke' else 'stroke_path' end when long>=6 and thin<=2.5 then 'thin_rule_or_fraction_bar' else 'filled_path' end as class, n from spans s where not exists (select 1 from clusters o where o.page_id=s.page_id and s.first between o.start and o.stop)) select coalesce(cast(page_id as varchar),'all') as page_id, coalesce(class,'all') as class, count(*) as n_items, sum(n) as n_ops from c group by rollup(page_id, class)"))
+@query("tr_unprocessed", X.twin("ops", f"with {CLUSTERS}, {SPANS}, c as (select s.page_id, case when kind='text_span' then 'text_content_candidate' when long is null then case when n - 1 <= 2 then 'radical_or_geometry_stroke_candidate' else 'geometry_stroke_candidate' end when long>=6 and thin<=2.5 then 'thin_rule_or_fraction_bar_candidate' else 'filled_geometry_candidate' end as class, n from spans s where not exists (select 1 from clusters o where o.page_id=s.page_id and s.first >= o.start and s.last <= o.stop)) select coalesce(cast(page_id as varchar),'all') as page_id, coalesce(class,'all') as class, count(*) as n_items, sum(n) as n_ops from c group by rollup(page_id, class)"))
 def unprocessed(spark, sf):
-    """Spans that no cluster owns, by class, with totals."""
-    ops = X.ops(spark, sf)
-    owned = C.clusters(C.marked_blocks(ops)).select("page_id", F.explode(F.sequence("start", "stop")).alias("first"))
-    left = C.classify(C.visual_spans(ops).join(owned, ["page_id", "first"], "left_anti"))
+    """Spans that no cluster owns whole, by class, with totals. Clusters are apart, so the last one at or before an operation tells whether it is in one."""
+    ops = materialize(X.ops(spark, sf), "ops")
+    clusters = C.clusters(C.marked_blocks(ops)).select("page_id", F.col("start").alias("ordinal"), "stop")
+    marked = match.as_of(ops, clusters, ["page_id"], "ordinal", "stop")
+    left = C.classify(C.visual_spans(marked, F.coalesce(F.col("ordinal") <= F.col("stop"), F.lit(False))).where("not owned"))
     r = left.rollup("page_id", "class").agg(F.count("*").alias("n_items"), F.sum("n").alias("n_ops"))
     return r.select(F.coalesce(F.col("page_id").cast("string"), F.lit("all")).alias("page_id"), F.coalesce("class", F.lit("all")).alias("class"), "n_items", "n_ops")
 

@@ -101,9 +101,9 @@ def terminal_kind(spark, sf):
     return X.nodes(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("h")).alias("area"))
 
 
-@query("flt_render_policy", X.twin("nodes", r"select node_id, case when coalesce(trim(latex),'')='' then 'display-math' when regexp_matches(latex, '\\(frac|sqrt|sum|int|begin|left|right|vec|overline)\b|[_^]\{') then 'display-math' when length(latex)<=12 and not contains(latex, '\\') then 'display-text' else 'display-math' end as policy from nodes where type='equation'"))
+@query("flt_render_policy", X.twin("nodes", r"select node_id, case when t<>'' and not regexp_matches(t, '\\(?:frac|sqrt|sum|prod|int|begin|overline|underline|overset|underset|vec|hat|bar|left|right)|[_^].*[_^]') and length(t)<=12 and not contains(t, '\\') then 'text' when node_no%2=0 then 'inline_math' else 'display_math' end as policy from (select node_id, node_no, trim(coalesce(latex,'')) as t from nodes where type='equation')"))
 def render_policy(spark, sf):
-    return X.nodes(spark, sf).where("type = 'equation'").select("node_id", T.render_policy(F.col("latex"), F.lit(False)).alias("policy"))
+    return X.nodes(spark, sf).where("type = 'equation'").select("node_id", T.render_policy(F.col("latex"), F.col("node_no") % 2 == 0).alias("policy"))
 
 
 @query("flt_suppress_bands", X.twin("solid page_sizes", "select node_id, band from (select n.node_id, b.band, b.pos, row_number() over (partition by n.node_id order by b.pos) as turn from solid n join page_sizes p on p.page_id=n.page_id cross join (values (1,'header',0.0,0.06),(2,'footer',0.94,1.0)) b(pos, band, lo, hi) where n.type in ('text_band','text_fragment','page_number') and greatest(0, least(n.y+n.h, b.hi*p.height)-greatest(n.y, b.lo*p.height))/n.h >= 0.35) where turn=1"))

@@ -176,3 +176,45 @@ def source_page(spark, sf):
 def crop_seed(spark, sf):
     m = lambda e, d: F.coalesce(F.percentile(F.expr(f"case when has_crop = 1 then {e} end"), 0.5), F.lit(float(d)))
     return X.crops(spark, sf).groupBy("book").agg(m("w", 2200).alias("w"), m("h", 3400).alias("h"), m("case when page % 2 = 0 then x else img_w - x - w end", 8).alias("inner_margin"), F.count_if(F.col("has_crop") == 0).alias("n_open"))
+
+
+@query("fn_extract_json", X.twin("items", "select item_no, case when item_no%3=0 then null else '{\"n\": ' || item_no || ', \"of\": {\"x\": 1}}' end as object from items"))
+def extract_json(spark, sf):
+    """Objects out of replies: fenced, amid words, or cut off."""
+    k = F.col("item_no")
+    body = F.concat(F.lit('{"n": '), k.cast("string"), F.lit(', "of": {"x": 1}}'))
+    reply = F.when(k % 3 == 0, F.concat(F.lit("Here: "), F.substring(body, 1, 5), F.lit("}"))).when(k % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("It is "), body, F.lit(", I think.")))
+    return X.items(spark, sf).select("item_no", T.json_object(reply).alias("object"))
+
+
+@query("fn_extract_text", X.twin("items", "select item_no, trim(case when item_no%2=0 then 'whole ' || item_no else 'a' || item_no || 'b' end) as text from items"))
+def extract_text(spark, sf):
+    """The text of model responses, given whole or in parts."""
+    k = F.col("item_no").cast("string")
+    parts = F.concat(F.lit('{"output": [{"content": [{"text": "a'), k, F.lit('"}, {"text": " "}, 3]}, 7, {"content": [{"output_text": "b"}]}, {"content": "x"}]}'))
+    whole = F.concat(F.lit('{"output_text": " whole '), k, F.lit(' ", "output": []}'))
+    return X.items(spark, sf).select("item_no", T.payload_text(F.when(F.col("item_no") % 2 == 0, whole).otherwise(parts)).alias("text"))
+
+
+MASKS = "m as (select vec_id as page_id, list_transform(embedding, lambda v: case when v > 0.15 then 255 else 0 end) as t, list_transform(embedding, lambda v: case when v < 0 then 255 else 0 end) as e from embeddings)"
+
+
+@query("set_mask_union", f"with {MASKS}, u as (select *, list_max(t) = 0 and list_max(e) > 0 as whole from m) select page_id, whole as promoted_to_page, cast(case when whole then len(t) else len(list_filter(range(1, len(t)+1), lambda i: t[i] = 0 and e[i] > 0)) end as bigint) as n_promoted, cast(case when whole then 255 * len(t) else list_sum(list_transform(range(1, len(t)+1), lambda i: greatest(t[i], e[i]))) end as bigint) as ink from u")
+def mask_union(spark, sf):
+    """Text masks with the formulas' pixels; an empty one beside formulas becomes the whole page."""
+    from leafloom.operators import image as I
+
+    level = lambda f: F.unhex(F.array_join(F.transform("embedding", lambda v: F.when(f(v), "FF").otherwise("00")), ""))
+    m = read(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), level(lambda v: v > 0.15).alias("text_mask"), level(lambda v: v < 0).alias("formula_mask"))
+    out = I.mask_union(m, "text_mask", "formula_mask")
+    return out.select("page_id", "promoted_to_page", "n_promoted", F.aggregate(F.transform(F.sequence(F.lit(1), F.length("mask")), lambda i: F.ascii(F.decode(F.substring("mask", i, F.lit(1)), "ISO-8859-1"))), F.lit(0), lambda a, x: a + x).cast("bigint").alias("ink"))
+
+
+@query("src_zero_assets", "select vec_id as page_id, len(list_filter(embedding[1:12], lambda v: v > 0.1)) = 0 as is_zero from embeddings")
+def zero_assets(spark, sf):
+    """Images without any visible sample: all colours are zero, whatever the alpha."""
+    from leafloom.operators import image as I
+
+    pixels = F.transform(F.slice("embedding", 1, 12), lambda v: F.when(v > 0.1, "1F").otherwise("00"))
+    rgba = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.get(pixels, 3 * k), F.get(pixels, 3 * k + 1), F.get(pixels, 3 * k + 2), F.lit("FF"))), "")
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), I.is_zero(F.unhex(rgba), 4).alias("is_zero"))

@@ -78,9 +78,8 @@ def outline_match_exact(spark, sf):
 @query("tr_classify_headings")
 def classify_headings(spark, sf):
     """Headings matched to the outline of their own book, with scores; similarity has no SQL twin."""
-    e = outline(spark, sf)
-    n = X.nodes(spark, sf).where("type = 'heading' and book_id is not null").select("node_id", "book_id", F.regexp_replace("text", "^[0-9.]+", "").alias("text"))
-    return structure.headings(n, e.select("book_id", "entry_no", "title"), 0.9)
+    n = X.nodes(spark, sf).where("type = 'heading' and book_id is not null").select("node_id", "book_id", "text")
+    return structure.headings(n, outline(spark, sf).select("book_id", "entry_no", "section", "title"), 0.78)
 
 
 # images from the vectors: 8 x 8 pixels
@@ -148,10 +147,10 @@ def hex_text(spark, sf):
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.hex_text(F.concat(code(65, 26), code(945, 24))).alias("wide"))
 
 
-@query("fn_font_family", "select p_partkey as id, 'Font' || p_partkey as family, case when p_partkey%3=0 then null when p_partkey%3=1 then 'Bold' else 'Semi-Italic' end as style, case when p_partkey%2=0 then 'ABCDEF' end as subset from part")
+@query("fn_font_family", "select p_partkey as id, 'Font' || p_partkey || case when p_partkey%4=2 then '-Semi' when p_partkey%4=3 then '-Text' else '' end as family, case when p_partkey%4=1 then 'Bold' when p_partkey%4=2 then 'Italic' end as style, case when p_partkey%2=0 then 'ABCDEF' end as subset from part")
 def font_family(spark, sf):
     k = F.col("p_partkey")
-    base = F.concat(F.lit("/"), F.when(k % 2 == 0, "ABCDEF+").otherwise(""), F.lit("Font"), k.cast("string"), F.when(k % 3 == 0, "").when(k % 3 == 1, "-Bold").otherwise("-Semi-Italic"))
+    base = F.concat(F.lit("/"), F.when(k % 2 == 0, "ABCDEF+").otherwise(""), F.lit("Font"), k.cast("string"), F.when(k % 4 == 0, "").when(k % 4 == 1, "-Bold").when(k % 4 == 2, "-Semi-Italic").otherwise("-Text"))
     return read(spark, sf, "part").select(k.alias("id"), base.alias("base")).select("id", T.font_parts(F.col("base")).alias("p")).select("id", "p.*")
 
 
@@ -251,8 +250,8 @@ def pipe_translation_ready(spark, sf):
     from leafloom import transforms
 
     n = X.nodes(spark, sf)
-    ops = X.ops(spark, sf).withColumn("page_id", F.col("page_id").cast("bigint"))
-    out = transforms.run({"nodes": n, "ops": ops.where("false").withColumn("page_id", F.col("page_id").cast("string"))}, {"transforms": transforms.CHAINS["translation"]})
+    ops = X.ops(spark, sf).withColumn("page_id", F.col("page_id").cast("string"))
+    out = transforms.run({"nodes": n, "ops": ops}, {"transforms": transforms.CHAINS["translation"]})
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
     return count("units", out["units"]).unionByName(count("unit_problems", out["unit_problems"])).unionByName(count("sections", out["groups"].where("kind = 'section'")))
 

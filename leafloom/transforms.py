@@ -280,10 +280,12 @@ def native_tables(tables: Tables, options: dict) -> Tables:
 
 @register("diagnostics.unprocessed-items.v1")
 def unprocessed(tables: Tables, options: dict) -> Tables:
-    """unprocessed: visual spans without an owner, by class."""
-    owned = tables["group_ops"].select("page_id", F.col("ordinal").alias("first"))
-    left = C.classify(C.visual_spans(tables["ops"]).join(owned, ["page_id", "first"], "left_anti"))
-    return {**tables, "unprocessed": left if options.get("include_text", True) else left.where("kind <> 'text'")}
+    """unprocessed: visual spans not all of whose operations have an owner, by class."""
+    owned = tables["group_ops"].select("page_id", "ordinal", F.lit(True).alias("claimed")).distinct()
+    marked = tables["ops"].join(owned, ["page_id", "ordinal"], "left")
+    spans = C.visual_spans(marked, F.coalesce("claimed", F.lit(False))).where("not owned")
+    left = C.classify(spans, float(options.get("thin_rule_min_length", 6.0)), float(options.get("thin_rule_max_thickness", 2.5)))
+    return {**tables, "unprocessed": left if options.get("include_text", True) else left.where("kind <> 'text_span'")}
 
 
 @register("translation.project.v1")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leafloom.operators import image as I
-from leafloom.operators import match, render
+from leafloom.functions import text as T
+from leafloom.operators import content, match, render
 from leafloom.operators import sequence as S
 from leafloom.operators import tree as R
 from scripts.compare import cell
@@ -76,7 +77,11 @@ def test_image_kernels():
 
 def test_formulas():
     assert render.formula_html("x_T") == "x<sub>T</sub>" and render.formula_html(r"\frac{a}{b}") == "a/b" and render.formula_html("{a") == "{a"
-    assert render.formula_mathml(r"\sqrt{x^2}") == "<math><msqrt><mrow><msup><mi>x</mi><mn>2</mn></msup></mrow></msqrt></math>" and render.formula_mathml(r"\nope") == r"<math><mtext>\nope</mtext></math>"
+    m = lambda x: render.formula_mathml(x).removeprefix('<math xmlns="http://www.w3.org/1998/Math/MathML">').removesuffix("</math>")
+    assert m(r"\sqrt{x^2}") == "<msqrt><msup><mi>x</mi><mn>2</mn></msup></msqrt>" and m(r"\nope") == "<mi>nope</mi>" and m("") == "<mrow></mrow>"
+    assert m(r"$x_{a}^{2}$") == "<msubsup><mi>x</mi><mi>a</mi><mn>2</mn></msubsup>" and m("x_a^b") == "<msub><mi>x</mi><msup><mi>a</mi><mi>b</mi></msup></msub>"
+    assert m(r"\left(\frac{1}{y}\right)") == "<mrow><mo>(</mo><mfrac><mn>1</mn><mi>y</mi></mfrac><mo>)</mo></mrow>" and m(r"\vec F\,<") == '<mrow><mover accent="true"><mi>F</mi><mo>→</mo></mover><mo>,</mo><mo>&lt;</mo></mrow>'
+    assert m("{a") == "<mi>a</mi>" and m("a}b") == "<mrow><mi>a</mi><mi>b</mi></mrow>" and m("{" * 5000).startswith("<mtext>{{")
 
 
 def test_layout_detection(spark):
@@ -95,3 +100,41 @@ def test_layout_detection(spark):
     assert sum(f[0] == "rule" for f in found) == 2 and sum(f[0] == "text_band" for f in found) >= 3
     df = spark.createDataFrame([("p", 300, 500, bytearray(img.tobytes())), ("none", 1, 1, None)], "page_id string, height long, width long, data binary")
     assert I.per_image(df, D.detect, D.SCHEMA).where("kind = 'rule'").count() == 2
+
+
+def test_trees_of_any_depth(spark):
+    rows = [(1, k, k - 1 if k else None) for k in range(300)] + [(2, 5, 6), (2, 6, 5), (2, 7, 99), (2, 8, None), (3, 0, None)]
+    got = R.paths(spark.createDataFrame(rows, "page_id long, n long, p long"), "n", "p", ["page_id"]).collect()
+    assert {(r.page_id, r.n): r.path for r in got} == {**{(1, k): list(range(k + 1)) for k in range(300)}, (2, 8): [8], (3, 0): [0]}
+    assert all(r.depth == len(r.path) - 1 for r in got)
+
+
+def test_outline_scores(spark):
+    rows = [("2 3 BEAMS", "2 3", "BEAMS"), ("BEAMS", "2 3", "BEAMS"), ("2 3", "2 3", "BEAMS UNDER LOAD"), ("UNDER A LONG LOAD", "", "BEAMS UNDER A LONG LOAD"), ("UNDER A LONG LOAD", "2 3", "BEAMS UNDER A LONG LOAD"), ("", "", "X")]
+    got = [round(r.s, 2) for r in spark.createDataFrame(rows, "t string, n string, o string").coalesce(1).select(T.outline_score(F.col("t"), F.col("n"), F.col("o")).alias("s")).collect()]
+    assert got[0] == got[1] == 1.0 and got[3] == 0.79 and got[4] > 0.79 and got[5] == 0.0 and got[2] < 0.5
+
+
+def test_policies_and_fonts(spark):
+    df = spark.createDataFrame([("  x = 5   ", True), (r"\frac{a}{b}", True), (None, False), ("a_1 + b_2", False), ("x_{1}", False), ("a" * 13, True), ("a\\\\b", False)], "t string, i boolean").coalesce(1)
+    assert [r.p for r in df.select(T.render_policy(F.col("t"), F.col("i")).alias("p")).collect()] == ["text", "inline_math", "display_math", "display_math", "text", "inline_math", "display_math"]
+    names = spark.createDataFrame([("/ABCDEF+Minion-Pro-Bold",), ("Times-Roman",), ("Plain",), ("ABCDEF+",)], "b string").coalesce(1)
+    assert [tuple(r.p) for r in names.select(T.font_parts(F.col("b")).alias("p")).collect()] == [("Minion-Pro", "Bold", "ABCDEF"), ("Times-Roman", None, None), ("Plain", None, None), ("ABCDEF+", None, None)]
+
+
+def test_spans_of_unpainted_paths(spark):
+    names = "m l n m BDC l S q re W f Do m Do h B BT Tj ET BT Tj BT ET re sh Q S BT Tj".split()
+    df = spark.createDataFrame([(1, i, o, float(i), 2.0, 9.0, 1.0) for i, o in enumerate(names)], "page_id long, ordinal long, operator string, x double, y double, w double, h double")
+    got = sorted((r.first, r.last, r.kind, r["class"]) for r in content.classify(content.visual_spans(df)).collect())
+    assert got == [
+        (5, 6, "path_span", "radical_or_geometry_stroke_candidate"), (8, 10, "path_span", "thin_rule_or_fraction_bar_candidate"), (11, 11, "image_operation", "embedded_image_candidate"), (12, 15, "path_span", "filled_geometry_candidate"),
+        (13, 13, "image_operation", "embedded_image_candidate"), (16, 18, "text_span", "text_content_candidate"), (21, 22, "text_span", "text_content_candidate"), (23, 26, "path_span", "radical_or_geometry_stroke_candidate"), (24, 24, "shading_operation", "shading_candidate"),
+    ]
+
+
+def test_model_replies(spark):
+    texts = ['```json\n{"a": {"b": 1}}\n```', "so {1} is none", "none", None, '{"a": 1} and }']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r.o for r in df.select(T.json_object(F.col("t")).alias("o")).collect()] == ['{"a": {"b": 1}}', None, None, None, None]
+    one = spark.createDataFrame([('{"output": [], "x": 1}',)], "t string").select(T.payload_text(F.col("t")).alias("o")).first().o
+    assert one == '{\n  "output": [],\n  "x": 1\n}'
