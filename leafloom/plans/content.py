@@ -66,7 +66,10 @@ def text_candidates(spark, sf):
     return C.text_candidates(X.ops(spark, sf))
 
 
-@query("isl_text_spans", X.twin("ops", f"""with s as materialized (select *, {lastv("'BT'")} as bt, {nextv("'ET'")} as et, {lastv("'q','Q','BT','ET','BDC','EMC'", "ordinal", PRE)} as bo, {lastv("'q','Q','BT','ET','BDC','EMC'", "operator", PRE)} as bop, lead(operator) over (partition by page_id order by ordinal) as follow from ops) select page_id, t.ordinal, case when b.bop='q' then b.bo else b.ordinal end as start, e.ordinal + case when e.follow='Q' then 1 else 0 end as stop from (select page_id, ordinal, bt, et from s where operator in ('Tj','TJ')) t join (select page_id, ordinal as bt, ordinal, bo, bop from s where operator='BT') b using (page_id, bt) join (select page_id, ordinal as et, ordinal, follow from s where operator='ET') e using (page_id, et)"""))
+TEXT_SPANS = f"""scopes as materialized (select *, {lastv("'BT'")} as bt, {nextv("'ET'")} as et, {lastv("'q','Q','BT','ET','BDC','EMC'", "ordinal", PRE)} as bo, {lastv("'q','Q','BT','ET','BDC','EMC'", "operator", PRE)} as bop, lead(operator) over (partition by page_id order by ordinal) as follow from ops), text_spans as (select page_id, t.ordinal, case when b.bop='q' then b.bo else b.ordinal end as start, e.ordinal + case when e.follow='Q' then 1 else 0 end as stop from (select page_id, ordinal, bt, et from scopes where operator in ('Tj','TJ')) t join (select page_id, ordinal as bt, ordinal, bo, bop from scopes where operator='BT') b using (page_id, bt) join (select page_id, ordinal as et, ordinal, follow from scopes where operator='ET') e using (page_id, et))"""
+
+
+@query("isl_text_spans", X.twin("ops", f"with {TEXT_SPANS} select * from text_spans"))
 def text_spans(spark, sf):
     return C.text_spans(X.ops(spark, sf))
 
