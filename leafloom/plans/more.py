@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
 
 from leafloom import fixtures as X
@@ -100,13 +101,24 @@ def nearest_below(spark, sf):
     return match.best(hit, ["node_id"], "dy", "below").select("node_id", "below", "dy")
 
 
-@query("tr_wrap_text", X.twin("nodes", "with w as (select node_id, i, words[i] as word, greatest(1, w//8) as width from (select node_id, w, string_split(trim(text), ' ') as words from nodes where trim(coalesce(text,''))<>'' and type='text_band') n, unnest(generate_series(1, len(words))) u(i)), l as (select node_id, width, sum(length(word)+1) over (partition by node_id order by i) as reach from w) select node_id, cast(ceil(max(reach - 1) * 1.0 / width) as bigint) as n_lines from l group by node_id, width"))
+@query("tr_wrap_text", X.twin("solid", """with recursive w as (select n.node_id, n.w as box, n.h, greatest(n.h, 1) as size, string_split_regex(trim(n.text), '\\s+') as ws from solid n where type in ('text_band','text_fragment') and trim(coalesce(text,''))<>''), l(node_id, box, h, size, ws, i, n_lines, len) as (select node_id, box, h, size, ws, 1, 1, length(ws[1]) from w union all select node_id, box, h, size, ws, i+1, case when (len + 1 + length(ws[i+1])) * 0.1 * size <= box then n_lines else n_lines+1 end, case when (len + 1 + length(ws[i+1])) * 0.1 * size <= box then len + 1 + length(ws[i+1]) else length(ws[i+1]) end from l where i < len(ws)) select node_id, cast(max(n_lines) as bigint) as n_lines from l where i = len(ws) group by node_id""").replace("with nodes as", "with recursive nodes as", 1).replace(", recursive w", ", w"))
 def wrap_text(spark, sf):
-    """Lines that a text needs in its box, by character width."""
-    n = X.nodes(spark, sf).where("trim(coalesce(text, '')) <> '' and type = 'text_band'")
-    words = F.split(F.trim("text"), " ")
-    reach = F.aggregate(words, F.lit(0), lambda a, x: a + F.length(x) + 1) - 1
-    return n.select("node_id", F.ceil(reach / F.greatest(F.lit(1), F.floor(F.col("w") / 8))).cast("bigint").alias("n_lines"))
+    """Lines that a text needs in its own box, word by word."""
+    from leafloom.operators import wrap
+
+    n = X.solid(spark, sf).where("type in ('text_band', 'text_fragment') and trim(coalesce(text, '')) <> ''")
+    count = F.pandas_udf(lambda t, s, w: pd.Series([len(wrap.lines(x, y, z, 0.1)) for x, y, z in zip(t, s, w)]), "bigint")
+    return n.groupBy("node_id").agg(F.max(count(F.col("text"), F.greatest(F.col("h"), F.lit(1)).cast("double"), F.col("w").cast("double"))).alias("n_lines"))
+
+
+@query("tr_wrap_obstacles")
+def wrap_obstacles(spark, sf):
+    """Texts wrapped before what stands in their way, with what they push down; each page's texts depend on each other, so there is no SQL twin."""
+    from leafloom.operators import wrap
+
+    s = X.solid(spark, sf)
+    texts = s.where("type in ('text_band', 'text_fragment')").select("page_id", "node_id", "node_no", "x", "y", "w", "h", F.lit(14.0).alias("size"), "text")
+    return wrap.around_obstacles(texts, X.obstacles(spark, sf))
 
 
 @query("fn_split_evenly", X.twin("solid", "select node_id, cast(i as bigint) as part, y + cast(round_even(h*(i-1)/3.0, 0) as bigint) as lo, y + cast(round_even(h*i/3.0, 0) as bigint) as hi from solid, unnest(generate_series(1, 3)) u(i) where type='table'"))

@@ -10,7 +10,7 @@ from leafloom.functions import text as T
 from leafloom.operators import sequence as S
 from leafloom.operators import tree as R
 from leafloom.plans import query
-from leafloom.session import read
+from leafloom.session import materialize, read
 
 TREE = "tree as (with recursive t(group_id, parent_id, child_idx, x, y, w, h, path, depth) as (select group_id, parent_id, child_idx, x, y, w, h, [group_id], 0 from groups where parent_id is null union all select g.group_id, g.parent_id, g.child_idx, g.x, g.y, g.w, g.h, list_append(t.path, g.group_id), t.depth+1 from groups g join t on g.parent_id=t.group_id) select * from t)"
 
@@ -217,10 +217,13 @@ def box_rows(spark, sf):
     return each.select("sample_no", (F.col("k") + 1).cast("bigint").alias("pos"), "ch", (F.lit(790) - (F.col("k") + 1) % 20).cast("bigint").alias("y_top"))
 
 
-@query("snk_list_files", X.twin("ocr", "select coalesce(split,'none') as split, string_agg(cast(sample_no as varchar), ',' order by sample_no) as listing from ocr group by 1"))
+@query("snk_list_files", X.twin("ocr", "select coalesce(split,'none') as split, sample_no, row_number() over (partition by coalesce(split,'none') order by sample_no) as line_no from ocr"))
 def list_files(spark, sf):
-    listing = F.array_join(F.transform(F.sort_array(F.collect_list("sample_no")), lambda x: x.cast("string")), ",")
-    return X.ocr(spark, sf).groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(listing.alias("listing"))
+    """The lines of each split's list file, numbered; a writer parts them by split. The numbers come from ranges, not from one task a split."""
+    o = X.ocr(spark, sf).select(F.coalesce("split", F.lit("none")).alias("split"), "sample_no")
+    numbered = materialize(sequence_numbers(o, [F.col("split"), F.col("sample_no")]), "list-lines")
+    first = numbered.groupBy("split").agg((F.min("pos") - 1).alias("before"))
+    return numbered.join(F.broadcast(first), "split").select("split", "sample_no", (F.col("pos") - F.col("before")).alias("line_no"))
 
 
 @query("val_eval_split", X.twin("ocr", "select count(distinct split) filter (split in ('train','eval')) = 2 as both from ocr"))
@@ -249,13 +252,16 @@ def sectioned(spark, sf):
 def natural_sort(spark, sf):
     s = read(spark, sf, "samples").select("sample_no", "sample_id").distinct()
     number = F.coalesce(F.expr("try_cast(regexp_extract(sample_id, '([0-9]{1,15})$', 1) as bigint)"), F.lit(1_000_000_000))
-    ranked = s.withColumn("number", number)
-    # ranks over the whole table from range-partitioned counts, so that no task gets all rows
-    bucket = F.floor(F.col("number") / 1000)
-    sizes = ranked.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    base = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("bucket").orderBy(F.col("number"), F.col("sample_id").asc_nulls_last(), "sample_no")
-    return ranked.withColumn("bucket", bucket).withColumn("own", F.row_number().over(w)).join(base, "bucket").select("sample_no", (F.col("own") + F.col("before")).cast("bigint").alias("pos"))
+    return sequence_numbers(s.withColumn("number", number), [F.col("number"), F.col("sample_id").asc_nulls_last(), F.col("sample_no")]).select("sample_no", "pos")
+
+
+def sequence_numbers(df, order):
+    """df with pos, the rank over the whole table: rows are sorted in ranges, and each range counts on from those before it; no task gets all rows, whatever the keys."""
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # one row a range
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("pos", (F.col("_own") + F.col("before")).cast("bigint")).drop("_part", "_own", "n", "before")
 
 
 @query("flt_page_spec", "select b.book_id, p as page from books b, unnest(generate_series(1, coalesce(b.page_count, 0))) u(p) where p between 1 and 3 or p=7 or p between 9 and 11")
