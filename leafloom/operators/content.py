@@ -99,14 +99,17 @@ def text_candidates(ops: DataFrame, page_height: float = 800.0) -> DataFrame:
 
 
 def text_spans(ops: DataFrame) -> DataFrame:
-    """(page_id, ordinal, start, stop): from a shown text back to its BT, or to the q before that with nothing but state between, on to the ET, and over a Q behind it."""
-    s = ops.withColumn("bt", last_of(["BT"])).withColumn("et", next_of(["ET"]))
-    s = s.withColumn("before", last_of(["q", "Q", "BT", "ET", "BDC", "EMC"], F.struct("ordinal", "operator"), Window.partitionBy("page_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("follow", F.lead("operator").over(Window.partitionBy("page_id").orderBy("ordinal")))
-    at_bt = s.where("operator = 'BT'").select("page_id", F.col("ordinal").alias("bt"), F.when(F.col("before.operator") == "q", F.col("before.ordinal")).otherwise(F.col("ordinal")).alias("start"))
-    at_et = s.where("operator = 'ET'").select("page_id", F.col("ordinal").alias("et"), (F.col("ordinal") + F.when(F.col("follow") == "Q", 1).otherwise(0)).alias("stop"))
-    shown = s.where(is_in(["Tj", "TJ"])).select("page_id", "ordinal", "bt", "et")
-    return shown.join(at_bt, ["page_id", "bt"]).join(at_et, ["page_id", "et"]).select("page_id", "ordinal", "start", "stop")
+    """(page_id, ordinal, start, stop): from a shown text back to its BT, or to the q before that with nothing but state between, on to the ET, and over a Q behind it.
+
+    Where a block starts and stops is worked out at its BT and ET and carried from there, so one partitioning serves all.
+    """
+    before = F.last(F.when(is_in(["q", "Q", "BT", "ET", "BDC", "EMC"]), F.struct("ordinal", "operator")), True).over(Window.partitionBy("page_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    follow = F.lead("operator").over(Window.partitionBy("page_id").orderBy("ordinal"))
+    s = ops.select("page_id", "ordinal", "operator").withColumn("before", before).withColumn("follow", follow)
+    start = F.when(F.col("before.operator") == "q", F.col("before.ordinal")).otherwise(F.col("ordinal"))
+    s = s.withColumn("at_start", F.when(F.col("operator") == "BT", start)).withColumn("at_stop", F.when(F.col("operator") == "ET", F.col("ordinal") + F.when(F.col("follow") == "Q", 1).otherwise(0)))
+    s = s.withColumn("start", F.last("at_start", True).over(_upto())).withColumn("stop", F.first("at_stop", True).over(_after()))
+    return s.where(is_in(["Tj", "TJ"]) & F.col("start").isNotNull() & F.col("stop").isNotNull()).select("page_id", "ordinal", "start", "stop")
 
 
 def marked_blocks(ops: DataFrame) -> DataFrame:

@@ -169,10 +169,11 @@ def open_items(spark, sf):
 
 @query("agg_cer_by_group", X.twin("ascii", "with g as (select distinct sample_no, unnest(list_concat(['split:' || coalesce(split,'none')], list_transform(coalesce(tags, []), lambda t: 'tag:' || t))) as grp, gt, ocr_a, ocr_b from ascii) select grp, count(*) as n, cast(sum(greatest(1,length(gt))) as bigint) as chars, cast(sum(levenshtein(gt, ocr_a)) as bigint) as edits_a, cast(sum(levenshtein(gt, ocr_b)) as bigint) as edits_b, round(sum(levenshtein(gt, ocr_a))*1.0/sum(greatest(1,length(gt))), 6) as cer_a from g group by grp"))
 def cer_by_group(spark, sf):
-    s = X.ascii_samples(spark, sf)
+    s = materialize(X.ascii_samples(spark, sf), "ascii-samples")  # else the cleaning is done again wherever a text is used
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("tag:"), t))
     both = F.array_union(F.array(F.concat(F.lit("split:"), F.coalesce("split", F.lit("none")))), tags)
-    each = s.withColumn("chars", F.greatest(F.lit(1), F.length("gt"))).withColumn("a", F.levenshtein("gt", "ocr_a")).withColumn("b", F.levenshtein("gt", "ocr_b")).withColumn("grp", F.explode(both))
+    each = s.withColumn("chars", F.greatest(F.lit(1), F.length("gt"))).withColumn("a", F.levenshtein("gt", "ocr_a")).withColumn("b", F.levenshtein("gt", "ocr_b"))
+    each = materialize(each.select("chars", "a", "b", both.alias("groups")), "edit-counts").withColumn("grp", F.explode("groups"))  # distances once a sample, not once a group
     return each.groupBy("grp").agg(F.count("*").alias("n"), F.sum("chars").cast("bigint").alias("chars"), F.sum("a").cast("bigint").alias("edits_a"), F.sum("b").cast("bigint").alias("edits_b"), F.round(F.sum("a") / F.sum("chars"), 6).alias("cer_a"))
 
 
