@@ -1,9 +1,12 @@
 """Visually identical text with different characters (problem 1).
 
 A transducer, compiled once per process from a conflict-checked table, walks over the grapheme clusters of a
-text and rewrites the longest match at each place in one pass: width forms, ligatures, invisible characters,
-kinds of space, look-alike letters of other scripts, and composed against combining accents. Case, accents,
-punctuation, digits and raised digits are kept.
+text and rewrites the longest run of clusters it has a rule for at each place: width forms, ligatures, invisible
+characters, kinds of space, look-alike letters of other scripts, and composed against combining accents. Case,
+accents, punctuation, digits and raised digits are kept. Only texts that are not composed after that are gone over again.
+
+The result is a form to compare texts by. Letters are replaced whatever the word's script, as the comparison asks for,
+so a text of another script is not fit for reading in it.
 
 Defined results
 * null stays null; the empty text stays empty; a text of nothing but invisible characters becomes empty.
@@ -33,6 +36,8 @@ LOOKALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТХҮԚԜӀѴаесһіјорԛѕуԝхүԁӏѵ", "ABESIJKMHOPCTXYQWIVaechijopqsywxydlv"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ", "ABEZHIKMNOPTYXCJovcj"),
     "Armenian": ("ՕՍԼՏօհոսցզ", "OULSohnugq"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏟᏢᏙᏚᏞᏦᏔᏒ", "DRTiyAJEWMHYGhZCPVSLKWR"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     "signs": ("µ", "μ"),
 }
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǅ": "Dž", "Ǆ": "DŽ", "ǉ": "lj", "ǈ": "Lj", "Ǉ": "LJ", "ǌ": "nj", "ǋ": "Nj", "Ǌ": "NJ"}
