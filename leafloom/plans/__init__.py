@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from leafloom.plans import chains, content, geometry, more, nested, pages, quality, records, reports  # noqa: F401
+    from leafloom.plans import chains, content, geometry, images, more, nested, pages, quality, records, reports  # noqa: F401
