@@ -192,6 +192,25 @@ def skew(img: np.ndarray, least: int = 120) -> float:
     return float(found[int(np.searchsorted(weights, weights[-1] / 2))][0])
 
 
+def footer_line(img: np.ndarray, least: float = 0.35, run: int = 90, gap: int = 25) -> float | None:
+    """Degrees of the line above the footer: of the long thin parts in the page's last fifth, but for the edge, the one longest for its slope; None without one."""
+    h, w = img.shape
+    band = img[int(h * 0.80) : int(h * 0.98)]
+    mask = np.zeros(band.shape, bool)
+    for y, line in enumerate(band <= 220):
+        for a, b in runs(line, run, gap):
+            mask[y, a:b] = True
+    best = None
+    for x, y, cw, ch, _ in components(mask, 1):
+        ys, xs = np.nonzero(mask[y : y + ch, x : x + cw])
+        spread = ((xs - xs.mean()) ** 2).sum()
+        slope = ((xs - xs.mean()) * (ys - ys.mean())).sum() / spread if spread else 0.0
+        length, degrees = float(np.hypot(cw, slope * cw)), float(np.degrees(np.arctan(slope)))
+        if length >= int(w * least) and (best is None or length - 12 * abs(degrees) > best[0]):
+            best = (length - 12 * abs(degrees), degrees)
+    return None if best is None else best[1]
+
+
 def rotated(img: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
     """Turned about the centre on a grown canvas, bilinear."""
     h, w = img.shape

@@ -125,3 +125,22 @@ def detected(spark, sf):
     """The rule among the regions that the detector gives for a page."""
     found = I.per_image(drawn(spark, sf), D.detect, D.SCHEMA)
     return found.where("kind = 'rule' and h = 3 and x = 30").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("img_footer_line", "select s_suppkey as page_id, s_suppkey % 3 <> 0 as has_line, case when s_suppkey % 3 <> 0 then true end as near from supplier")
+def footer_line(spark, sf):
+    """The slope of a line near the foot of the page, where there is one; a shorter straight one beside it does not win."""
+    blank = np.full((HEIGHT, WIDTH), 250, np.uint8)
+
+    def kernel(k: int) -> float | None:
+        img = blank.copy()
+        for x in range(10, 290) if k % 3 else ():
+            y = 270 + (x - 10) // 100 * (k % 3 - 1)
+            img[y : y + 2, x] = 0
+        img[300:302, 100:195] = 0
+        return I.footer_line(img)
+
+    found = F.pandas_udf(lambda key: pd.Series([kernel(k) for k in key.tolist()], dtype=float), "double")
+    d = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id")).withColumn("degrees", F.nanvl(found("page_id"), F.lit(None).cast("double")))
+    true = F.degrees(F.atan(F.when(F.col("page_id") % 3 == 2, 0.01).otherwise(0.0)))
+    return d.select("page_id", F.col("degrees").isNotNull().alias("has_line"), (F.abs(F.col("degrees") - true) < 0.2).alias("near"))
