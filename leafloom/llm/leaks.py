@@ -6,7 +6,8 @@
    seeds. A run of that length holds a seed by construction, so no exact leak is lost by leaving common n-grams out.
 3. Documents are joined to items by their seeds; Smith-Waterman alignment over words, around the seeds,
    scores paraphrased and edited copies. What is aligned well enough is checked for its longest common run of words.
-4. For the report, edited copies are also looked for by all 3-grams, two of them about one diagonal, in a scan of their own.
+4. For the report, edited copies are also looked for by all 3-grams, two of them or as many as a tenth of the passage's
+   words about one diagonal, in a scan of their own.
 
 Equal passages count as one until the end. The items are a stated query set: for step 4 they are taken in blocks of
 BLOCK_WORDS words, so that what goes to the tasks is bounded.
@@ -36,7 +37,7 @@ from leafloom.llm.joins import with_one
 from leafloom.session import materialize
 
 MIN_WORDS, GRAM, BLOCK_WORDS = 13, 8, 4_000_000
-EDITED_GRAM, BAND, EDITED_SHARE = 3, 8, 0.5
+EDITED_GRAM, BAND, EDITED_SHARE, EVIDENCE = 3, 8, 0.5, 0.1
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORDS = re.compile(r"[^\W_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +190,7 @@ def compare(tried: DataFrame, min_score: int = MATCH * MIN_WORDS) -> DataFrame:
 
 
 def edited(df: DataFrame, row: Column, text: Column, passages: dict[str, np.ndarray], least: float = EDITED_SHARE, n: int = EDITED_GRAM) -> DataFrame:
-    """(row_id, pid, run, score, share) of the pairs of at least that share that have two n-grams about one diagonal, however short the intact runs are."""
+    """(row_id, pid, run, score, share) of the pairs of at least that share that have n-grams about one diagonal: two, or as many as EVIDENCE of the passage's words, however short the intact runs are."""
     names = sorted(passages)
     each = [grams(passages[i], n) for i in names]
     every = np.concatenate(each) if each else np.empty(0, np.int64)
@@ -198,6 +199,8 @@ def edited(df: DataFrame, row: Column, text: Column, passages: dict[str, np.ndar
     owner = np.repeat(np.arange(len(names)), [len(g) for g in each])[order]
     place = np.concatenate([np.arange(len(g)) for g in each])[order] if each else np.empty(0, np.int64)
     sets = [np.unique(passages[i]) for i in names]
+    sizes = np.array([len(passages[i]) for i in names], np.int64)
+    need, spread = np.maximum(2, (EVIDENCE * sizes).astype(np.int64)), np.maximum(BAND, sizes // 5)
 
     def pairs(hashes: np.ndarray) -> Iterator[tuple[str, int, int, float]]:
         own = grams(hashes, n)
@@ -211,10 +214,10 @@ def edited(df: DataFrame, row: Column, text: Column, passages: dict[str, np.ndar
         item, diagonal = owner[k], start - place[k]
         by = np.lexsort((diagonal, item))
         item, diagonal, start = item[by], diagonal[by], start[by]
-        close = (item[1:] == item[:-1]) & (np.diff(diagonal) <= BAND)
-        good = np.zeros(len(item), bool)
-        good[1:] |= close
-        good[:-1] |= close
+        last = np.arange(len(item)) + need[item] - 1  # of as many hits in order of their diagonals
+        inside = last < len(item)
+        last = np.where(inside, last, 0)
+        good = inside & (item[last] == item) & (diagonal[last] - diagonal <= spread[item])
         item, start = item[good], start[good]
         for i in np.unique(item).tolist():
             passage = passages[names[i]]

