@@ -78,6 +78,8 @@ PLACEHOLDER = re.compile(
 NO_PLACEHOLDER = {"[sic]", "[note]", "[notes]", "[edit]", "[citation]", "[ref]", "[eds]", "[abstract]", "[online]"}
 EMPTY_FIELD = re.compile(r"\s*[^\W\d_][\w ]*:\s*(?:(?:TBD|TBA|TODO|FIXME|XXX+|N/A)\b|\?\?\?+|\.\.\.$)|\s*(?:TBD|TODO|FIXME)\b")
 FIELD_MARKS = ("TBD", "TBA", "TODO", "FIXME", "XX", "N/A", "??", "...")
+# What a server signs an error page with: a name and a version, alone in its line.
+SIGNATURE = re.compile(r"\s*[A-Za-z][\w\-]*/\d+(?:\.\d+)+\s*$")
 UNSET = re.compile(r"\b(?:undefined|NaN|null|None)\b|\[object Object\]")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?](?!\s|$)[^.!?\n]*)*[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -206,6 +208,9 @@ def judge(text: str) -> tuple[bool, list[int], list[int]] | None:
     if spans or unset:
         k = 0
         for i, x in enumerate(lines):
+            if spans and SIGNATURE.match(x):
+                residue[i] = letters[i]
+                continue
             for m in SENTENCE.finditer(x):
                 a, b = starts[i] + m.start(), starts[i] + m.end()
                 while k < len(spans) and spans[k][1] <= a:

@@ -37,6 +37,11 @@ def test_a_phrase_in_a_far_longer_sentence():
     assert residue.fold("İstanbul ẞ") == "İstanbul ß" and residue.command_before("\\" + "a" * 500, 501) and not residue.command_before("frac", 4)
 
 
+def test_signature_of_a_server():
+    _, letters, marked = residue.judge("Downloaded 4740 times from a place.example\n502 Bad Gateway\nnginx/1.18.0")
+    assert letters[1:] == marked[1:] and marked[0] == 0 and residue.judge("The ratio is\nh/2.5\nof the lens.") is None
+
+
 def test_rules_make_phrases():
     made = residue.phrases()
     assert {"404 not found", "turn on javascript", "cookies sind deaktiviert", "chyba 500", "povolte skripty"} <= made and all(p == p.lower() for p in made)
