@@ -101,13 +101,13 @@ def nearest_below(spark, sf):
     return match.best(hit, ["node_id"], "dy", "below").select("node_id", "below", "dy")
 
 
-@query("tr_wrap_text", X.twin("solid", """with recursive w as (select n.node_id, n.w as box, n.h, greatest(n.h, 1) as size, string_split_regex(trim(n.text), '\\s+') as ws from solid n where type in ('text_band','text_fragment') and trim(coalesce(text,''))<>''), l(node_id, box, h, size, ws, i, n_lines, len) as (select node_id, box, h, size, ws, 1, 1, length(ws[1]) from w union all select node_id, box, h, size, ws, i+1, case when (len + 1 + length(ws[i+1])) * 0.1 * size <= box then n_lines else n_lines+1 end, case when (len + 1 + length(ws[i+1])) * 0.1 * size <= box then len + 1 + length(ws[i+1]) else length(ws[i+1]) end from l where i < len(ws)) select node_id, cast(max(n_lines) as bigint) as n_lines from l where i = len(ws) group by node_id""").replace("with nodes as", "with recursive nodes as", 1).replace(", recursive w", ", w"))
+@query("tr_wrap_text", X.twin("solid", """with recursive w as (select n.node_id, n.w as box, n.h, greatest(n.h, 1) as size, string_split_regex(regexp_replace(n.text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[\\s\\p{Z}]+') as ws from solid n where type in ('text_band','text_fragment') and trim(coalesce(text,''))<>''), l(node_id, box, h, size, ws, i, n_lines, len) as (select node_id, box, h, size, ws, 1, 1, length(ws[1]) from w union all select node_id, box, h, size, ws, i+1, case when (len + 1 + length(ws[i+1])) * 0.125 * size <= box then n_lines else n_lines+1 end, case when (len + 1 + length(ws[i+1])) * 0.125 * size <= box then len + 1 + length(ws[i+1]) else length(ws[i+1]) end from l where i < len(ws)) select node_id, cast(max(n_lines) as bigint) as n_lines from l where i = len(ws) group by node_id""").replace("with nodes as", "with recursive nodes as", 1).replace(", recursive w", ", w"))
 def wrap_text(spark, sf):
     """Lines that a text needs in its own box, word by word."""
     from leafloom.operators import wrap
 
     n = X.solid(spark, sf).where("type in ('text_band', 'text_fragment') and trim(coalesce(text, '')) <> ''")
-    count = F.pandas_udf(lambda t, s, w: pd.Series([len(wrap.lines(x, y, z, 0.1)) for x, y, z in zip(t, s, w)]), "bigint")
+    count = F.pandas_udf(lambda t, s, w: pd.Series([len(wrap.lines(x, y, z, 0.125)) for x, y, z in zip(t, s, w)]), "bigint")
     return n.groupBy("node_id").agg(F.max(count(F.col("text"), F.greatest(F.col("h"), F.lit(1)).cast("double"), F.col("w").cast("double"))).alias("n_lines"))
 
 
