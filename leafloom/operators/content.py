@@ -1,11 +1,15 @@
 """Page content as ordered operations (page_id, ordinal, operator, x, y, w, h): scopes, state, spans, owners.
 
-Windows pair the scopes of pages on which they nest; S.malformed tells the others, and structured() handles both with a stack, a page a group.
+Windows pair the scopes of pages on which they nest; S.malformed tells the others, and structured() handles both with a stack, all pages of a task in one pass.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,29 +45,67 @@ def pairs(ops: DataFrame, opener: str, closer: str) -> DataFrame:
 
 
 def structured(ops: DataFrame) -> DataFrame:
-    """(page_id, ordinal, depth, parent, problem) by a stack: only the top's own closer pops, others stay with a diagnosis."""
-
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ordinal", kind="stable")
-        stack: list[tuple[int, str]] = []
-        rows = []
-        for ordinal, op in zip(page["ordinal"], page["operator"]):
-            problem = None
-            if op in CLOSE:
-                if stack and OPEN[stack[-1][1]] == op:
-                    start = stack.pop()[0]
-                    rows.append((page["page_id"].iat[0], ordinal, len(stack) + 1, start, None))
-                    continue
-                problem = "unmatched_scope_close"
-            rows.append((page["page_id"].iat[0], ordinal, len(stack), stack[-1][0] if stack else None, problem))
-            if op in OPEN:
-                stack.append((ordinal, op))
-        left = {o for o, _ in stack}
-        rows = [(p, o, d, s, "unclosed_scope" if o in left else x) for p, o, d, s, x in rows]
-        out = pd.DataFrame(rows, columns=["page_id", "ordinal", "depth", "parent", "problem"])
-        return out.astype({"parent": "Int64"})
-
-    return ops.select("page_id", "ordinal", "operator").groupBy("page_id").applyInPandas(walk, "page_id bigint, ordinal bigint, depth bigint, parent bigint, problem string")
+    """(page_id, ordinal, depth, parent, problem) by a stack: only the top's own closer pops, others stay with a diagnosis.
+
+    The window brings each page's rows one after the other, in order, and tells its first; so one pass takes all pages of a
+    task. Batches wait for as long as they hold a scope that may be left open.
+    """
+    kinds = {c: k + 1 for k, c in enumerate(CLOSE)}
+    code = F.lit(0)
+    for op, kind in [*((o, kinds[c]) for o, c in OPEN.items()), *((c, -k) for c, k in kinds.items())]:
+        code = F.when(F.col("operator") == op, kind).otherwise(code)
+    none = np.iinfo(np.int64).min
+    problems = pa.array([None, "unmatched_scope_close", "unclosed_scope"])
+
+    def finished(batch: pa.RecordBatch, depth: np.ndarray, parent: np.ndarray, problem: np.ndarray) -> pa.RecordBatch:
+        columns = [batch["page_id"], batch["ordinal"], pa.array(depth), pa.array(parent, mask=parent == none), problems.take(pa.array(problem))]
+        return pa.RecordBatch.from_arrays(columns, names=["page_id", "ordinal", "depth", "parent", "problem"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple[int, int, np.ndarray, int, int]] = []  # ordinal, kind, problems of the batch, place in it, number of the batch
+        waiting: deque[tuple] = deque()
+
+        def leave() -> None:
+            for _, _, found, place, _ in stack:
+                found[place] = 2
+            stack.clear()
+
+        for number, batch in enumerate(batches):
+            n = batch.num_rows
+            codes, firsts = batch["code"].to_numpy(), batch["first"].to_numpy(zero_copy_only=False)
+            at = np.flatnonzero((codes != 0) | firsts)
+            problem = np.zeros(n, np.int8)
+            ordinals = batch["ordinal"].fill_null(none).to_numpy()[at].tolist()
+            depths, parents = [], []  # of the rows at
+            after_depths, after_parents = [len(stack)], [stack[-1][0] if stack else none]  # of the rows that follow each
+            for place, kind, first, ordinal in zip(at.tolist(), codes[at].tolist(), firsts[at].tolist(), ordinals):
+                if first:
+                    leave()
+                if kind < 0 and stack and stack[-1][1] == -kind:
+                    depths.append(len(stack))
+                    parents.append(stack.pop()[0])
+                else:
+                    depths.append(len(stack))
+                    parents.append(stack[-1][0] if stack else none)
+                    if kind < 0:
+                        problem[place] = 1
+                    elif kind:
+                        stack.append((ordinal, kind, problem, place, number))
+                after_depths.append(len(stack))
+                after_parents.append(stack[-1][0] if stack else none)
+            rows = np.diff(np.concatenate(([0], at, [n])))
+            depth, parent = np.repeat(np.array(after_depths, np.int64), rows), np.repeat(np.array(after_parents, np.int64), rows)
+            depth[at], parent[at] = depths, parents
+            waiting.append((number, batch, depth, parent, problem))
+            while waiting and (not stack or waiting[0][0] < stack[0][4]):
+                yield finished(*waiting.popleft()[1:])
+        leave()
+        for _, *rest in waiting:
+            yield finished(*rest)
+
+    turn = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("ordinal").asc_nulls_last()))
+    rows = ops.select(*[F.col(c).cast("bigint").alias(c) for c in ("page_id", "ordinal")], code.alias("code"), (turn == 1).alias("first"))
+    return rows.mapInArrow(walk, "page_id bigint, ordinal bigint, depth bigint, parent bigint, problem string")
 
 
 def _upto(order: str = "ordinal") -> Window:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +83,43 @@ def test_stack_machine_on_malformed_pages(spark):
     assert rows[2] == (2, 1, "unmatched_scope_close") and rows[3] == (2, 1, None) and rows[4][2] == "unmatched_scope_close" and rows[0][2] == "unclosed_scope" and rows[5] == (1, 0, "unclosed_scope")
 
 
+def stacked(rows):
+    """ordinal, depth, parent, problem of one page, by the rule"""
+    stack, out = [], []
+    for ordinal, op in sorted(rows):
+        if op in C.CLOSE and stack and C.OPEN[stack[-1][1]] == op:
+            out.append([ordinal, len(stack), stack.pop()[0], None])
+            continue
+        out.append([ordinal, len(stack), stack[-1][0] if stack else None, "unmatched_scope_close" if op in C.CLOSE else None])
+        stack += [(ordinal, op)] if op in C.OPEN else []
+    left = {o for o, _ in stack}
+    return {(o, d, s, "unclosed_scope" if o in left else x) for o, d, s, x in out}
+
+
+def test_stack_machine_over_batches(spark):
+    """Scopes that go on in later batches, or are left open at a page's end that comes batches later."""
+    rng = random.Random(4)
+    pages = {p: [(o, rng.choice(["q", "Q", "BT", "ET", "BDC", "BMC", "EMC", "m", "n", None])) for o in range(rng.choice([1, 2, 9, 40]))] for p in range(60)}
+    pages[60] = [(o, "q" if o == 0 else "m") for o in range(50)]
+    rows = [(p, o, op) for p, own in pages.items() for o, op in own]
+    rng.shuffle(rows)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = [tuple(r) for r in C.structured(spark.createDataFrame(rows, "page_id long, ordinal long, operator string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(rows) and set(got) == {(p, *r) for p, own in pages.items() for r in stacked(own)}
+
+
+def test_stack_machine_on_many_pages(spark):
+    """A page costs no more than its rows: a group of its own took some 7 ms."""
+    o = spark.range(100_000).selectExpr("id div 5 page_id", "id % 5 ordinal", "element_at(array('q', 're', 'f*', 'Q', 'n'), cast(id % 5 + 1 as int)) operator")
+    began = time.monotonic()
+    assert C.structured(o).where("parent = 0").count() == 60_000
+    assert time.monotonic() - began < 30
+
+
 def test_manifests():
     assert manifests.page_numbers("1-3,7") == [1, 2, 3, 7] and manifests.expand("${A}/x", {"A": "b"}) == "b/x"
     for bad in (lambda: manifests.page_numbers("3-1"), lambda: manifests.expand("${B}", {}), lambda: manifests.stages({}), lambda: manifests.stages({"transforms": [], "input": 1}), lambda: T.resolve("no.v1"), lambda: manifests.stages({"transforms": [3]})):
